@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from factloom.llm import sentencepiece_viterbi
 from factloom.llm.common import shared_dir
 from factloom.llm.token_files import token_digests, write_token_files
+from factloom.llm.topk_search import top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +25,40 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes each text, decodes the ids, and digests both."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(text).alias("text_crc32"))
+    coded = sentencepiece_viterbi.encode(docs, path, keep_text=False)
+    ids = coded.select("doc_id", "text_crc32", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "ids")
+    back = sentencepiece_viterbi.decode(ids, path, out="decoded")
+    return back.select("doc_id", "n_tokens", "ids_crc32", F.crc32("decoded").alias("decoded_crc32"), (F.crc32("decoded") == F.col("text_crc32")).alias("round_trip"))
+
+
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+OP1_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), p as (
+  select q.vec_id as query_id, c.vec_id as vec_id,
+    cast(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), 0) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from p)
+select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": op1_topk_search,
     "op8_token_files": op8_token_files,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_topk_search": OP1_SQL}
