@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import sentencepiece_viterbi
+from factloom.llm import language_id, sentencepiece_viterbi
 from factloom.llm.common import shared_dir
+from factloom.llm.sampling import held_out
 from factloom.llm.token_files import token_digests, write_token_files
 from factloom.llm.topk_search import top_k
 
@@ -17,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.train(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,6 +64,7 @@ select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 10
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
+    "op4_language_id": op4_language_id,
     "op8_token_files": op8_token_files,
     "op10_sentencepiece": op10_sentencepiece,
 }
