@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,14 +30,21 @@ from factloom.llm import simple8b
 from factloom.llm.common import encode_words, ragged, text_chunks
 
 SEGMENT = "shard int, segment int, first_token long, doc_ids array<bigint>, lengths array<int>, offsets array<int>, words binary"
-#: Distinct words whose ids a worker keeps.
-CACHE = 400_000
+#: Distinct runs of letters in each of the two generations whose ids a worker keeps, and runs given to the library in one text.
+CACHE, JOINED = 400_000, 500
+#: What stands behind a word as a unit of its own.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A run of precomposed Latin letters; but for U+0130, whose lower case is two characters.
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
+LETTERS_AHEAD = LETTERS[:-1]
 
 
 class WordTokenizer:
     """Encodes texts word by word with a tokenizers file whose tokens don't reach across white space.
 
-    Each distinct word of a batch is given to the library once; a text's ids are its words' ids in turn.
+    A text's ids are its words' ids in turn. A word of Latin letters and the punctuation behind it are separate units
+    to such a tokenizer, which lowers letters; so a worker encodes each lower-cased run of letters once, many in one
+    call: a token that ends in the word-end mark ends a run. Any other word is encoded as it stands.
     """
 
     def __init__(self, path: str):
@@ -44,19 +52,55 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for x, k in vocabulary.items() if x.endswith("</w>")]] = True
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def units(self, runs: list[bytes], others: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of each unit as 32-bit integers; those seen not long ago are kept, in two generations."""
+        if len(self.new) > CACHE:
+            self.old, self.new = self.new, {}
+        new, old, out = self.new, self.old, {}
+        unknown = []
+        for u in runs:
+            got = new.get(u)
+            if got is None:
+                got = old.get(u)
+                if got is None:
+                    unknown.append(u)
+                    continue
+                new[u] = got
+            out[u] = got
+        joined = [b" ".join(unknown[k : k + JOINED]).decode() for k in range(0, len(unknown), JOINED)]
+        ids = np.array([k for e in self.library.encode_batch_fast(joined, add_special_tokens=False) for k in e.ids], np.uint32)
+        raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist() if len(ids) else []
+        a = 0
+        for u, b in zip(unknown, ends, strict=True):
+            out[u] = new[u] = raw[a:b]
+            a = b
+        for u, e in zip(others, self.library.encode_batch_fast([u.decode() for u in others], add_special_tokens=False), strict=True):
+            out[u] = np.array(e.ids, np.uint32).tobytes()
+        return out
 
     def __call__(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text); each text ends with ``end_id``."""
         words, index, counts = encode_words(texts)
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = [w for w in words if w not in self.cache]
-        for w, e in zip(new, self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.cache[w] = np.array(e.ids, np.uint32).tobytes()
-        pieces = [self.cache[w] for w in words]
-        flat = np.append(np.frombuffer(b"".join(pieces), np.uint32), np.uint32(end_id))
-        lengths = np.append(np.array([len(p) // 4 for p in pieces], np.int64), 1)
+        whole = pa.array(words, pa.binary()).cast(pa.string())
+        run = pc.utf8_rtrim(whole, PUNCTUATION)
+        is_run = pc.match_substring_regex(run, LETTERS)
+        unit = pc.if_else(is_run, pc.utf8_lower(run), whole).dictionary_encode()
+        tail = pc.if_else(is_run, pc.utf8_slice_codeunits(pc.replace_substring_regex(whole, LETTERS_AHEAD, " "), 1), "").dictionary_encode()
+        of_run = np.zeros(len(unit.dictionary), bool)
+        of_run[unit.indices.to_numpy()[is_run.to_numpy(zero_copy_only=False)]] = True
+        names, tails = unit.dictionary.cast(pa.binary()).to_pylist(), tail.dictionary.cast(pa.binary()).to_pylist()
+        ids_of = self.units([u for u, r in zip(names, of_run, strict=True) if r], list({u for u, r in zip(names, of_run, strict=True) if not r} | set(tails)))
+        both = [ids_of[u] for u in names] + [ids_of[t] for t in tails]
+        lengths = np.array([len(p) // 4 for p in both], np.int64)
+        pairs = np.stack([unit.indices.to_numpy(), tail.indices.to_numpy() + len(names)], axis=1).ravel()
+        flat, got = ragged(np.frombuffer(b"".join(both), np.uint32), lengths, pairs)
+        flat, lengths = np.append(flat, np.uint32(end_id)), np.append(got.reshape(-1, 2).sum(axis=1), 1)
         # the end id stands as one more word behind each text's words
         index = np.insert(index.astype(np.int64), np.cumsum(counts), len(words))
         ids, got = ragged(flat, lengths, index)
