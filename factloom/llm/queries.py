@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import language_id, sentencepiece_viterbi
+from factloom.llm import language_id, sentencepiece_viterbi, toxicity, url_filter
 from factloom.llm.common import shared_dir
 from factloom.llm.sampling import held_out
 from factloom.llm.token_files import token_digests, write_token_files
@@ -24,6 +24,16 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), *url_filter.train(spark)).drop("url")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,6 +75,8 @@ select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op4_language_id": op4_language_id,
+    "op5_url_filter": op5_url_filter,
+    "op6_toxicity": op6_toxicity,
     "op8_token_files": op8_token_files,
     "op10_sentencepiece": op10_sentencepiece,
 }

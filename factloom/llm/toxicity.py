@@ -1,6 +1,6 @@
 """Toxicity: embeddings of subwords, averaged, under a linear softmax, learnt together.
 
-A word is its lower-cased letters and digits; its subwords are itself and its character n-grams of three to five with
+A word is its lower-cased letters and digits; its subwords are itself and its character n-grams of three to six with
 marks at both ends, hashed. A word's vector is the mean of its subwords', a text's the mean of its words', and a linear
 softmax over two classes reads that. Embeddings and softmax are trained together in numpy (Adagrad over small batches,
 with early stopping on a part of the sample kept back) on a bounded sample of labelled documents (``PER_CLASS`` of
@@ -28,11 +28,13 @@ from factloom.llm.common import chunks, mix, ragged
 from factloom.llm.sampling import held_out, per_class_sample
 
 BUCKETS, WIDTH = 1 << 17, 8
-PER_CLASS = 1500
-ORDERS = (3, 4, 5)
+PER_CLASS = 2500
+ORDERS = (3, 4, 5, 6)
 SCALE = 60.0
+#: Words of the zero vector that each text's mean counts besides its own, so that one word of a short text says less.
+PAD = 8
 #: A subword of fewer texts of the sample keeps the zero vector: it would only help to learn those texts by heart.
-MIN_TEXTS = 12
+MIN_TEXTS = 8
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -75,7 +77,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, weights that add up to 1) of each text."""
+    """(buckets, their weights in the mean) of each text."""
     words, index, counts = bag(texts)
     buckets, lengths = subwords(words)
     out = []
@@ -84,13 +86,13 @@ def features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         own, times = np.unique(index[a : a + n], return_counts=True)
         a += n
         flat, got = ragged(buckets, lengths, own)
-        weight = np.repeat(times / (got * max(n, 1)), got)
+        weight = np.repeat(times / (got * (n + PAD)), got)
         b, at = np.unique(flat, return_inverse=True)
         out.append((b, np.bincount(at, weight, minlength=len(b))))
     return out
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs=16, batch=32, rate=0.15, seed=5) -> tuple[np.ndarray, float]:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs=8, batch=32, rate=0.2, seed=5) -> tuple[np.ndarray, float]:
     """(a number per bucket, the bias): the difference of the two classes' scores."""
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.02, (BUCKETS, WIDTH)).astype(np.float32)
@@ -127,7 +129,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs=16
         return total / len(kept)
 
     best = (np.inf, embed @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]))
+    since = 0
     for _ in range(epochs):
+        if since == 2:
+            break
         rng.shuffle(learnt)
         for a in range(0, len(learnt), batch):
             part = learnt[a : a + batch]
@@ -146,8 +151,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs=16
             soft -= rate * 0.1 * g_soft / np.sqrt(seen_s)
             seen_b += g_bias**2
             bias -= rate * 0.1 * g_bias / np.sqrt(seen_b)
-        if (now := loss()) < best[0] or not len(kept):
-            best = (now, embed @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]))
+        now, since = loss(), since + 1
+        if now < best[0] or not len(kept):
+            since, best = 0, (now, embed @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]))
     return best[1].astype(np.float64) * SCALE, best[2]
 
 
@@ -166,7 +172,7 @@ class Model:
             means = np.add.reduceat(self.table[buckets].astype(np.float64), np.cumsum(lengths) - lengths) / lengths
         total = np.concatenate([[0.0], np.cumsum(means[index])])
         ends = np.cumsum(counts)
-        s = (total[ends] - total[ends - counts]) / np.maximum(counts, 1) + self.bias
+        s = (total[ends] - total[ends - counts]) / (counts + PAD) + self.bias
         return 1 / (1 + np.exp(-np.clip(s, -50, 50)))
 
 
