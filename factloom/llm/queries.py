@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import language_id, sentencepiece_viterbi, toxicity, url_filter
+from factloom.llm import decontaminate, language_id, sentencepiece_viterbi, toxicity, url_filter
 from factloom.llm.common import shared_dir
 from factloom.llm.sampling import held_out
 from factloom.llm.token_files import token_digests, write_token_files
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.train(docs))
@@ -74,6 +78,7 @@ select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 10
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
+    "op3_decontaminate": op3_decontaminate,
     "op4_language_id": op4_language_id,
     "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
