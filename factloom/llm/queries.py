@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factloom.llm import decontaminate, language_id, sentencepiece_viterbi, toxicity, url_filter
 from factloom.llm.common import shared_dir
 from factloom.llm.sampling import held_out
+from factloom.llm.substring_dedup import remove_repeats
 from factloom.llm.token_files import token_digests, write_token_files
 from factloom.llm.topk_search import top_k
 
@@ -38,6 +39,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_token_files": op8_token_files,
     "op10_sentencepiece": op10_sentencepiece,
 }
