@@ -46,6 +46,10 @@ def word_batches(docs: DataFrame) -> DataFrame:
         first = TaskContext.get().partitionId() << 32
         for k, (ids, texts) in enumerate(text_chunks(batches)):
             vocabulary, numbers, counts = encode_words(texts)
+            often = np.argsort(-np.bincount(numbers, minlength=len(vocabulary)), kind="stable")  # small numbers pack better
+            place = np.empty(len(often), np.int64)
+            place[often] = np.arange(len(often))
+            vocabulary, numbers = [vocabulary[k] for k in often.tolist()], place[numbers] if len(numbers) else numbers
             row = {"batch": [first + k], "doc_ids": [ids], "counts": [counts], "vocabulary": [zlib.compress(b"".join(vocabulary), 1)], "vocabulary_lengths": [pack(np.array([len(w) for w in vocabulary], np.uint32))], "words": [pack(numbers.astype(np.uint32))]}
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), kinds, strict=True)], list(row))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate, language_id, sentencepiece_viterbi, toxicity, url_filter
 from factloom.llm.common import shared_dir
+from factloom.llm.near_dedup import classes
 from factloom.llm.sampling import held_out
 from factloom.llm.substring_dedup import remove_repeats
 from factloom.llm.token_files import token_digests, write_token_files
@@ -64,6 +65,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_crc32", F.crc32("decoded").alias("decoded_crc32"), (F.crc32("decoded") == F.col("text_crc32")).alias("round_trip"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_token_files": op8_token_files,
+    "op9_near_dedup": op9_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
