@@ -2,14 +2,54 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from factloom.llm import decontaminate, language_id, line_dedup, near_dedup, sentencepiece_viterbi
+from factloom.llm.common import materialised
+
+PIECES = "piece_bpe_32k.model"
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is decided."""
+    return language_id.accepted(docs, language_id.train(docs))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated lines out of the texts."""
+    return line_dedup.without_repeats(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least id of each class of near-duplicates."""
+    return near_dedup.one_of_each(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents without a benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' columns but the text, its ids (little-endian 32-bit), their number, and whether they decode to it."""
+    path = public_tokenizers.path(PIECES)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    kept = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "round_trip", "_crc", "_decoded")]
+    coded = sentencepiece_viterbi.encode(docs.select(*(F.col(f"`{c}`") for c in kept), "text", F.crc32(text).alias("_crc")), path, keep_text=False)
+    back = sentencepiece_viterbi.decode(coded, path, out="_decoded")
+    return back.select(*(F.col(f"`{c}`") for c in kept), (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.crc32("_decoded") == F.col("_crc")).alias("round_trip"))
+
+
+STAGES = [("language_id", language), ("line_dedup", lines), ("near_dedup", near_duplicates), ("decontamination", benchmark), ("sentencepiece", tokens)]
+#: SQL can't express the trained model of the first stage, nor those after it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's are written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = materialised(stage(spark, docs, sf_dir))
     return docs

@@ -169,14 +169,36 @@ def parts(items: Iterator[tuple[int, bytes]]) -> list[list[tuple[int, bytes]]]:
     return out
 
 
+def _sent(docs: DataFrame, benchmark: DataFrame) -> list:
+    """The items with a text, normal, as broadcasts of bounded size."""
+    source = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
+    rows = ((r.item_id, normal(r.text)) for r in source.toLocalIterator())
+    return [docs.sparkSession.sparkContext.broadcast(p) for p in parts((i, x) for i, x in rows if x)]
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, unchanged, that hold no occurrence of an item."""
+    for sent in _sent(docs, benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(sent.value)
+            for batch in batches:
+                keep = np.ones(len(batch), bool)
+                texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                for places, part in chunks(range(len(texts)), texts):
+                    for k, *_ in matcher.search(normal_many(part)):
+                        keep[places[k]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item of which it holds an occurrence: ``HITS``; places are in the normal form."""
     spark = docs.sparkSession
-    source = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
-    rows = ((r.item_id, normal(r.text)) for r in source.toLocalIterator())
     found = None
-    for part in parts((i, x) for i, x in rows if x):  # each is sent in a broadcast of bounded size
-        sent = spark.sparkContext.broadcast(part)
+    for sent in _sent(docs, benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value)

@@ -243,3 +243,15 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose language is decided with a score of ``least`` or more."""
+    broadcast = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, scores = broadcast.value.predict(batch.column("text").to_pylist())
+            yield batch.filter(pa.array([x != UNDECIDED and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

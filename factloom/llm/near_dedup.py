@@ -267,3 +267,16 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = SIMILARITY)
     least = named.groupBy("component").agg(F.min("least").alias("class_id"))
     of_node = named.join(least, "component").select("node", "class_id")
     return signed.select("doc_id", "node").join(of_node, "node", "left").select("doc_id", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, unchanged, of least ``doc_id`` of each class; of rows equal in id and text, one."""
+    from pyspark.sql import Window
+
+    row = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
+    found = classes(docs.select(row.alias("doc_id"), "text"), size, threshold).select(F.col("doc_id").alias("row"), "class_id").distinct()
+    ids = docs.select(row.alias("row"), "doc_id").distinct()
+    kept = materialised(ids.join(found, "row").groupBy("class_id").agg(F.min(F.struct("doc_id", "row")).alias("k")).select(F.col("k.row").alias("row")))
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), row.alias("row"))
+    number = F.row_number().over(Window.partitionBy("row").orderBy("row"))
+    return d.join(kept, "row", "left_semi").withColumn("number", number).where("number = 1").select("d.*")
