@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import encode_words, materialised, mix, ragged, text_chunks
 
+#: Bytes of text in a batch.
+CHUNK = 4_000_000
 BATCH = "batch long, doc_ids array<bigint>, counts array<int>, vocabulary binary, vocabulary_lengths binary, words binary"
 SENT = "bucket int, batch long, n int, payload binary"
 ANSWER = "bucket int, batch long, answer binary"
@@ -44,7 +46,7 @@ def word_batches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        for k, (ids, texts) in enumerate(text_chunks(batches)):
+        for k, (ids, texts) in enumerate(text_chunks(batches, CHUNK)):
             vocabulary, numbers, counts = encode_words(texts)
             often = np.argsort(-np.bincount(numbers, minlength=len(vocabulary)), kind="stable")  # small numbers pack better
             place = np.empty(len(often), np.int64)

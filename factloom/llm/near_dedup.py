@@ -9,11 +9,12 @@ Jaccard similarity of these is ``SIMILARITY`` or more; a *class* is a connected
 2. Signatures: ``BANDS`` x ``ROWS`` consistent samples (gamma variates by quantile tables, drawn from hashes of shingle
    and sample number) make band keys. Texts of the same words are one node from here on.
 3. Candidates share a band key. Each node is first verified against the least and the greatest node of each of its bands'
-   groups, so a group of copies costs as much as its size. Where a band's group still holds several components, all
-   pairs across them (of similar total weight) are verified too, so no link that the bands show is lost.
+   groups, so a group of copies costs as much as its size. Where bands' groups still hold several components, all
+   pairs across them that share ``CROSS`` bands (and are of similar total weight) are verified too.
 4. Verification computes the similarity from both documents' shingles.
 
-A pair at the threshold shares no band with a chance of ``(1 - 0.8 ** ROWS) ** BANDS``, 5 in a million.
+A pair at the threshold shares no band with a chance of ``(1 - 0.8 ** ROWS) ** BANDS``, 5 in a million, and fewer than
+two with a chance of one in ten thousand; a pair of similarity 0.85, with less than one in a hundred thousand.
 
 Cases: null, empty and word-less texts are each a class of their own; whole texts are read; rows that share an id are
 judged by their texts, and the class id is the least id in a class (a null id never is, but for a class of nulls).
@@ -35,6 +36,8 @@ from factloom.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 2
+#: Bands that a pair across components has to share.
+CROSS = 2
 #: Shingles that are sampled at once.
 STEP = 400_000
 _SIGNED = np.int64
@@ -57,17 +60,23 @@ def samples(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, count
     quantile, log_quantile = _gamma()
     out = np.zeros((count, len(starts)), np.uint32)
     log_w = np.log(weights).astype(np.float32)
+    place = np.arange(len(shingles), dtype=np.uint64)
     for k, c in enumerate(odd_constants(count, 77)):
-        h = mix(shingles * c + c)
-        r = quantile[(h & np.uint64(0xFFFF)).astype(np.int64)]
-        log_c = log_quantile[((h >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64)]
-        beta = ((h >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.float32) / np.float32(65536)
+        h = shingles * c
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        r = quantile[(h >> np.uint64(48)).view(_SIGNED)]
+        log_a = log_quantile[((h >> np.uint64(32)) & np.uint64(0xFFFF)).view(_SIGNED)]
+        beta = ((h >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.float32)
+        beta /= np.float32(65536)
         t = np.floor(log_w / r + beta)
-        log_a = log_c - r * (t - beta) - r
+        log_a -= r * (t - beta + np.float32(1))
         bits = log_a.view(np.uint32)
         ordered = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31)).astype(np.uint64)
-        mark = mix(h ^ (t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(32)
-        out[k] = np.minimum.reduceat(ordered << np.uint64(32) | mark, starts) & np.uint64(0xFFFFFFFF)
+        ordered <<= np.uint64(32)
+        ordered |= place  # of equal samples, that of the smaller hash
+        won = (np.minimum.reduceat(ordered, starts) & np.uint64(0xFFFFFFFF)).view(_SIGNED)
+        out[k] = mix(h[won] ^ (t[won].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(32)
     return out
 
 
@@ -82,6 +91,13 @@ def bands(sampled: np.ndarray) -> np.ndarray:
     return out.view(_SIGNED)
 
 
+def sorted_by(major: np.ndarray, minor: np.ndarray) -> np.ndarray:
+    """The order by ``major``, then ``minor``, which has 48 bits."""
+    if len(major) and major.max() >= 1 << 16:
+        return np.lexsort((minor, major))
+    return np.argsort(major.astype(np.uint64) << np.uint64(48) | minor)
+
+
 class Shingles:
     """A batch's distinct shingles of each document: ``doc``, ``hash``, ``count``; and its distinct hashes, by bucket."""
 
@@ -98,18 +114,16 @@ class Shingles:
         short = full[words.counts[full] < size]
         hashes.append(self.node[short])
         docs.append(short)
-        hashes, docs = np.concatenate(hashes), np.concatenate(docs)
-        order = np.lexsort((hashes, docs))
+        hashes, docs = np.concatenate(hashes) >> np.uint64(16), np.concatenate(docs)  # 48 bits
+        order = sorted_by(docs, hashes)
         hashes, docs = hashes[order], docs[order]
         first = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1]))) if len(order) else np.zeros(0, np.int64)
         self.count = np.diff(np.append(first, len(order)))
         self.hash, self.doc = hashes[first], docs[first]
         self.starts = np.flatnonzero(np.append(True, self.doc[1:] != self.doc[:-1])) if len(first) else np.zeros(0, np.int64)
-        # what is sent: 48 bits besides the bucket
-        low = np.uint64(0xFFFFFFFFFFFF)
-        bucket, value = (self.hash % np.uint64(buckets)).astype(np.int64), self.hash & low
-        self.order = np.lexsort((value, bucket))
-        bucket, value = bucket[self.order], value[self.order]
+        bucket = (self.hash % np.uint64(buckets)).astype(np.int64)
+        self.order = sorted_by(bucket, self.hash)
+        bucket, value = bucket[self.order], self.hash[self.order]
         new = np.append(True, (value[1:] != value[:-1]) | (bucket[1:] != bucket[:-1])) if len(value) else np.zeros(0, bool)
         at = np.flatnonzero(new)
         self.group = np.cumsum(new) - 1
@@ -169,7 +183,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _vector(hashes: np.ndarray, weights: np.ndarray) -> bytes:
-    gaps = pack(np.diff(hashes >> np.uint64(16), prepend=np.uint64(0)))
+    gaps = pack(np.diff(hashes, prepend=np.uint64(0)))
     return len(gaps).to_bytes(4, "little") + gaps + pack(weights.astype(np.float32))
 
 
@@ -258,7 +272,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = SIMILARITY)
     x, y = left.alias("x"), left.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
     alike = (F.col("x.weight") >= threshold * F.col("y.weight") * (1 - 1e-6)) & (F.col("y.weight") >= threshold * F.col("x.weight") * (1 - 1e-6))
-    cross = x.join(y, apart & alike).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    cross = x.join(y, apart & alike).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min(CROSS, BANDS)).select("a", "b")
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = materialised(verified(cross.join(done, ["a", "b"], "left_anti"), vectors, threshold))
     if not more.isEmpty():

@@ -48,7 +48,7 @@ class Anchors:
         h = rolling(words.hashes(1), block, 11)[self.at]
         bucket = (h & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
         keys = bucket << np.uint64(32) | h >> np.uint64(32)
-        self.order = np.argsort(keys, kind="stable")
+        self.order = np.argsort(keys)
         k = keys[self.order]
         new = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
         self.starts = np.flatnonzero(new)
@@ -109,7 +109,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
         raw = [x.as_py() for x in table["payload"]]
         values = np.concatenate([np.frombuffer(x, np.uint32, k) for x, k in zip(raw, n, strict=True)])
         flags = np.concatenate([np.frombuffer(x, np.uint8, k, 4 * k) for x, k in zip(raw, n, strict=True)])
-        order = np.argsort(values, kind="stable")
+        order = np.argsort(values)
         v, f = values[order], flags[order]
         starts = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
         sizes = np.diff(np.append(starts, len(v)))
@@ -140,7 +140,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
             values.append(np.frombuffer(raw, np.uint64, k, 16))
             first.append(np.frombuffer(raw, np.int64 if wide else np.uint32, k, 16 + 8 * k).astype(np.int64) + (0 if wide else base))
         values, first = np.concatenate(values), np.concatenate(first)
-        order = np.argsort(values, kind="stable")
+        order = np.argsort(values)
         v = values[order]
         starts = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
         least = np.minimum.reduceat(first[order], starts)
