@@ -1,7 +1,7 @@
 """Line dedup: an exact set-similarity join over the lines of all documents, in DataFrame operations only.
 
 A line is its set of words (between spaces, tabs and other ASCII white space). A line goes if a line earlier in the
-order of (``doc_id``, hash of the text, line number) has a Jaccard similarity of ``SIMILARITY`` or more with it, judged
+order of (``doc_id``, line number, hash of the text) has a Jaccard similarity of ``SIMILARITY`` or more with it, judged
 on the input. Lines of fewer than ``LEAST`` distinct words stay and aren't compared.
 
 1. Lines of equal sets form a class, known by its first line; all others of a class go.
@@ -10,8 +10,9 @@ on the input. Lines of fewer than ``LEAST`` distinct words stay and aren't compa
    first ``n - ceil(t * n) + 1`` words.
 3. Classes meet at the words of their prefixes. A pair is a candidate if the lengths, the places of the shared word,
    and the parities of the words' hashes (64 bits: each unshared word flips one) allow the similarity.
-4. Each class is first held against the earliest at each of its words, so a crowd of variants costs as much as its
-   size. Classes that this doesn't remove are held against all earlier candidates. Both are verified with the whole sets.
+4. At each of its words, a class that may match the earliest class there is held against that one only, else against all
+   earlier candidates, so a crowd of variants costs as much as its size. Candidates are verified with the whole sets. Of
+   the classes that this leaves in place though they skipped some pair, all pairs are verified in a second round.
 
 The tables of slots that expressions look up are of a fixed size and travel in the plan. Words are compared by 64 bits
 of hash (55 and the rarity in the order).
@@ -23,6 +24,9 @@ lines. All columns but the text pass through ``without_repeats``.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +34,9 @@ from factloom.llm.common import materialised
 
 SIMILARITY, LEAST = 0.8, 5
 SLOTS = 1 << 20
-_AT = ["doc", "hash", "line"]
+#: A line: its document, and its number with 32 bits of the text's hash, which tell rows that share an id apart.
+_AT = ["doc", "at"]
+_SPACES = "\t\r\x0b\x0c"
 
 
 def _lookup(table: bytes, slot: Column) -> Column:
@@ -42,22 +48,35 @@ def _slot(value: Column) -> Column:
     return F.pmod(value, F.lit(SLOTS))
 
 
+def _slots(values: DataFrame) -> bytes:
+    """A byte 1 in the slots of the one column of ``values``; SLOTS rows come to the driver at most."""
+    flags = bytearray(SLOTS)
+    for r in values.toDF("v").select(_slot(F.col("v")).cast("int").alias("slot")).distinct().toLocalIterator():
+        flags[r[0]] = 1
+    return bytes(flags)
+
+
+def _flagged(table: bytes, value: Column) -> Column:
+    return _lookup(table, _slot(value)) == F.lit(bytearray(b"\x01"))
+
+
 def _split_lines(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    d = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    return d.select("doc", "hash", F.posexplode_outer(F.split("text", "\n")).alias("line", "body"))
+    d = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(text).alias("hash"), F.split(text, "\n").alias("lines"))
+    low = F.col("hash").bitwiseAND(F.lit(0xFFFFFFFF))
+    return d.select("doc", "hash", F.posexplode_outer("lines").alias("line", "body")).withColumn("at", F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(low))
 
 
 def _words(body: Column) -> Column:
     """Hashes of the line's distinct words."""
-    plain = F.translate(body, "\t\r\x0b\x0c", "    ")
-    return F.array_distinct(F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    odd = reduce(lambda a, b: a | b, [F.contains(body, F.lit(c)) for c in _SPACES])
+    plain = F.when(odd, F.translate(body, _SPACES, " " * len(_SPACES))).otherwise(body)
+    hashed = F.array_distinct(F.transform(F.split(plain, " "), lambda w: F.xxhash64(w)))
+    return F.array_remove(hashed, F.xxhash64(F.lit("")))
 
 
 def _rarity(lines: DataFrame) -> bytes:
-    """By slot of the words' hashes, an eighth of a binary logarithm's step of the count of words there, below 127."""
-    import math
-
+    """By slot of the words' hashes, a quarter of a binary logarithm's step of the count of words there, below 127."""
     counts = lines.select(F.explode(_words(F.col("body"))).alias("w")).groupBy(_slot(F.col("w")).cast("int").alias("slot")).count()
     table = bytearray(SLOTS)
     for r in counts.toLocalIterator():  # SLOTS rows at most
@@ -70,35 +89,40 @@ def _needed(a: Column, b: Column, t: float) -> Column:
     return F.ceil((a + b) * (t / (1 + t)) - 1e-9)
 
 
-def _may_match(l: str, r: str, t: float) -> Column:
-    c = lambda side, name: F.col(f"{side}.{name}")
-    need = _needed(c(l, "n"), c(r, "n"), t)
-    most = F.least(c(l, "pos"), c(r, "pos")) + 1 + F.least(c(l, "n") - c(l, "pos"), c(r, "n") - c(r, "pos")) - 1
-    sizes = (c(r, "n") >= F.ceil(c(l, "n") * t - 1e-9)) & (c(l, "n") >= F.ceil(c(r, "n") * t - 1e-9))
-    return sizes & (most >= need) & (F.bit_count(c(l, "parity").bitwiseXOR(c(r, "parity"))) <= c(l, "n") + c(r, "n") - need * 2)
+def _may_match(l: dict[str, Column], r: dict[str, Column], t: float) -> Column:
+    """Whether sizes, places of the shared word and parities allow the similarity."""
+    size = {k: F.shiftright(x["np"], 32) for k, x in (("l", l), ("r", r))}
+    pos = {k: x["np"].bitwiseAND(F.lit(0xFFFFFFFF)) for k, x in (("l", l), ("r", r))}
+    need = _needed(size["l"], size["r"], t)
+    most = F.least(pos["l"], pos["r"]) + F.least(size["l"] - pos["l"], size["r"] - pos["r"])
+    sizes = (size["r"] >= F.ceil(size["l"] * t - 1e-9)) & (size["l"] >= F.ceil(size["r"] * t - 1e-9))
+    return sizes & (most >= need) & (F.bit_count(l["parity"].bitwiseXOR(r["parity"])) <= size["l"] + size["r"] - need * 2)
+
+
+def _side(name: str) -> dict[str, Column]:
+    return {c: F.col(f"{name}.{c}") for c in ("doc", "at", "np", "parity")}
+
 
+def _before(l: dict[str, Column], r: dict[str, Column]) -> Column:
+    """Whether ``r`` comes before ``l``; a null id first."""
+    same = r["doc"].eqNullSafe(l["doc"])
+    return (same & (r["at"] < l["at"])) | (~same & (r["doc"].isNull() | (r["doc"] < l["doc"])))
 
-def _before(l: str, r: str) -> Column:
-    """Whether ``r`` comes before ``l``; ids are compared with nulls first."""
-    key = lambda s: F.struct(F.col(f"{s}.doc").isNotNull(), F.coalesce(f"{s}.doc", F.lit(0)), F.col(f"{s}.hash"), F.col(f"{s}.line"))
-    return key(r) < key(l)
+
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc").eqNullSafe(F.col(f"{b}.doc")) & (F.col(f"{a}.at") == F.col(f"{b}.at"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
-    """The later lines (``doc``, ``hash``, ``line``) of those ``pairs`` (structs ``l`` and ``r``) that are similar."""
+    """The later lines of those ``pairs`` (structs ``l`` and ``r``) that are similar."""
     ids = pairs.select("l.*").unionByName(pairs.select("r.*")).distinct()
-    flags = bytearray(SLOTS)
-    for r in ids.select(_slot(F.xxhash64("doc")).cast("int").alias("slot")).distinct().toLocalIterator():  # SLOTS at most
-        flags[r[0]] = 1
-    # of the other documents, no text need be moved
-    some = docs.where(_lookup(bytes(flags), _slot(F.xxhash64("doc_id"))) == F.lit(bytearray(b"\x01")))
-    same = lambda a, b: F.col(f"{a}.doc").eqNullSafe(F.col(f"{b}.doc")) & (F.col(f"{a}.hash") == F.col(f"{b}.hash")) & (F.col(f"{a}.line") == F.col(f"{b}.line"))
-    lines = _split_lines(some).alias("x").join(ids.alias("y"), same("x", "y"), "left_semi").dropDuplicates(_AT)
-    sets = materialised(lines.select(*_AT, _words(F.col("body")).alias("w")))
-    first = pairs.alias("p").join(sets.alias("x"), F.col("p.l.doc").eqNullSafe(F.col("x.doc")) & (F.col("p.l.hash") == F.col("x.hash")) & (F.col("p.l.line") == F.col("x.line"))).select("l", "r", F.col("w").alias("a"))
-    both = first.alias("p").join(sets.alias("x"), F.col("p.r.doc").eqNullSafe(F.col("x.doc")) & (F.col("p.r.hash") == F.col("x.hash")) & (F.col("p.r.line") == F.col("x.line")))
-    similar = F.size(F.array_intersect("a", "w")) >= _needed(F.size("a"), F.size("w"), t)
-    return both.where(similar).select("l.*").distinct()
+    flags = _slots(ids.select(F.xxhash64("doc")))
+    # the texts of other documents need not be moved
+    lines = _split_lines(docs.where(_flagged(flags, F.xxhash64("doc_id")))).alias("x").join(ids.alias("y"), _same("x", "y"), "left_semi")
+    bodies = materialised(lines.dropDuplicates(_AT).select(*_AT, "body"))
+    first = pairs.select("l.doc", "l.at", "r").alias("p").join(bodies.alias("x"), _same("p", "x")).select(F.struct("p.doc", "p.at").alias("l"), F.col("r.doc"), F.col("r.at"), F.col("body").alias("own"))
+    both = first.alias("p").join(bodies.alias("x"), _same("p", "x")).select("l", _words(F.col("own")).alias("a"), _words(F.col("body")).alias("b"))
+    return both.where(F.size(F.array_intersect("a", "b")) >= _needed(F.size("a"), F.size("b"), t)).select("l.*").distinct()
 
 
 def decisions(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
@@ -107,34 +131,42 @@ def decisions(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAS
     raw = _split_lines(docs)
     rarity = _rarity(raw)
     ranked = F.transform(_words(F.col("body")), lambda h: F.shiftleft(F.ascii(_lookup(rarity, _slot(h)).cast("string")).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(h, 9)))
-    sets = raw.select(*_AT, F.sort_array(ranked).alias("w"))
+    sets = raw.select("doc", "hash", "line", "at", F.sort_array(ranked).alias("w"))
     n = F.size("w")
     parity = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.slice("w", F.lit(1), (n - F.ceil(n * t - 1e-9) + 1).cast("int"))
-    long_enough = n >= least
-    lines = materialised(sets.select(*_AT, n.alias("n"), F.when(long_enough, F.xxhash64("w")).alias("h1"), F.when(long_enough, F.hash("w")).alias("h2"), F.when(long_enough, parity).alias("parity"), F.when(long_enough, prefix).alias("prefix")))
+    judge = n >= least
+    lines = materialised(sets.select("doc", "hash", "line", "at", F.when(judge, n).alias("n"), F.when(judge, F.xxhash64("w")).alias("h1"), F.when(judge, F.hash("w")).alias("h2"), F.when(judge, parity).alias("parity"), F.when(judge, prefix).alias("prefix")))
     judged = lines.where("h1 is not null")
-    classes = judged.groupBy("h1", "h2", "n").agg(F.min(F.struct(*_AT)).alias("at"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    rows = classes.select("at.*", "n", "parity", F.posexplode("prefix").alias("pos", "word"))
-
-    me = F.struct(*_AT, "n", "pos", "parity")
-    led = rows.withColumn("r", F.first(me).over(Window.partitionBy("word").orderBy(*_AT).rowsBetween(Window.unboundedPreceding, 0)))
-    led = led.withColumn("l", me)
-    star = led.where(_before("l", "r") & _may_match("l", "r", t))
-    pair = lambda a: F.struct(*(F.col(f"{a}.{c}").alias(c) for c in _AT)).alias(a)
-    star = materialised(star.select(pair("l"), pair("r")).distinct())
-    gone = materialised(_verified(star, docs, t))
-
-    l, r = rows.alias("l"), rows.alias("r")
-    undecided = l.join(gone.alias("g"), F.col("l.doc").eqNullSafe(F.col("g.doc")) & (F.col("l.hash") == F.col("g.hash")) & (F.col("l.line") == F.col("g.line")), "left_anti")
-    rest = undecided.join(r, (F.col("l.word") == F.col("r.word")) & _before("l", "r") & _may_match("l", "r", t)).select(pair("l"), pair("r")).distinct()
-    rest = materialised(rest.exceptAll(star))
-    gone = gone.unionByName(_verified(rest, docs, t))
-
-    firsts = classes.select("h1", "h2", "n", "at")
-    dropped = firsts.alias("c").join(gone.alias("g"), F.col("c.at.doc").eqNullSafe(F.col("g.doc")) & (F.col("c.at.hash") == F.col("g.hash")) & (F.col("c.at.line") == F.col("g.line")), "left").select("c.h1", "c.h2", "c.n", "c.at", F.col("g.hash").isNotNull().alias("drop"))
-    here = F.struct(*_AT)
-    marked = lines.join(dropped, ["h1", "h2", "n"], "left").select("doc", "hash", "line", F.when(F.col("drop") | (F.col("at") != here), F.col("line")).alias("out"))
+    classes = judged.groupBy("h1", "h2", "n").agg(F.min(F.struct(*_AT)).alias("first"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+    spread = classes.select("first.*", "n", "parity", F.posexplode("prefix").alias("pos", "word"))
+    rows = spread.select("word", *_AT, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np"), "parity")
+    pair = lambda x, name: F.struct(x["doc"].alias("doc"), x["at"].alias("at")).alias(name)
+
+    led = rows.withColumn("lead", F.first(F.struct(*_AT, "np", "parity")).over(Window.partitionBy("word").orderBy(*_AT).rowsBetween(Window.unboundedPreceding, 0)))
+    own, lead = {c: F.col(c) for c in (*_AT, "np", "parity")}, _side("lead")
+    led = led.withColumn("star", _before(own, lead) & _may_match(own, lead, t))
+    l, r = _side("l"), _side("r")
+    is_lead = F.col("l.lead.doc").eqNullSafe(r["doc"]) & (F.col("l.lead.at") == r["at"])
+    joined = led.alias("l").join(rows.alias("r"), (F.col("l.word") == F.col("r.word")) & F.when(F.col("l.star"), is_lead).otherwise(_before(l, r) & _may_match(l, r, t)))
+    tried = materialised(joined.select(pair(l, "l"), pair(r, "r"), F.col("l.star").alias("star")).groupBy("l", "r").agg(F.max("star").alias("star")))
+    gone = materialised(_verified(tried.select("l", "r"), docs, t))
+
+    # classes still in place that were held against the earliest only, at some word
+    open_ = materialised(tried.where("star").select("l.*").distinct().alias("x").join(gone.alias("g"), _same("x", "g"), "left_anti"))
+    if not open_.isEmpty():
+        flags = _slots(open_.select(F.xxhash64("doc", "at")))
+        some = rows.where(_flagged(flags, F.xxhash64("doc", "at"))).alias("x").join(open_.alias("o"), _same("x", "o"), "left_semi")
+        some = materialised(some)
+        words = _slots(some.select("word"))
+        again = some.alias("l").join(rows.where(_flagged(words, F.col("word"))).alias("r"), (F.col("l.word") == F.col("r.word")) & _before(l, r) & _may_match(l, r, t))
+        rest = materialised(again.select(pair(l, "l"), pair(r, "r")).distinct().exceptAll(tried.select("l", "r")))
+        gone = gone.unionByName(_verified(rest, docs, t))
+
+    firsts = judged.groupBy("h1", "h2", "n").agg(F.min(F.struct(*_AT)).alias("first")).select("h1", "h2", "n", "first.*")
+    dropped = firsts.alias("c").join(gone.alias("g"), _same("c", "g"), "left").select("c.*", F.col("g.at").isNotNull().alias("drop"))
+    stays = F.col("m.doc").eqNullSafe(F.col("k.doc")) & (F.col("m.at") == F.col("k.at")) & ~F.col("k.drop")
+    marked = lines.select("doc", "hash", "line", "at", "h1", "h2", "n").alias("m").join(dropped.alias("k"), ["h1", "h2", "n"], "left").select("m.doc", "m.hash", "m.line", F.when(F.col("k.at").isNotNull() & ~stays, F.col("m.line")).alias("out"))
     return marked.groupBy("doc", "hash").agg(F.count_distinct("line").alias("n_lines"), F.array_sort(F.collect_set("out")).alias("removed")).select(F.col("doc").alias("doc_id"), F.col("hash").alias("text_hash"), "n_lines", "removed")
 
 
