@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -24,9 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialised(df: DataFrame, path: str | None = None) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
+    """``df`` written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors.
+
+    The shuffle files behind what is written are of no more use; Spark deletes them once the driver's JVM collects the
+    garbage that names them, which a small driver heap does often and a large one hardly ever, so it is asked to.
+    """
     path = path or shared_dir(df.sparkSession)
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
