@@ -104,4 +104,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE: dict[str, str] = {"op1_topk_search": OP1_SQL}
+OP7_SQL = """
+with d as (
+  select row_number() over () as rid, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) as w from documents
+), g as (
+  select rid, doc_id, i, array_to_string(w[i:i + 12], ' ') as k
+  from (select rid, doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13)
+), f as (select k, min(doc_id) as m from g group by k),
+c as (select distinct rid, unnest(range(i, i + 13)) as p from g join f using (k) where m < doc_id),
+r as (select rid, list(p) as gone from c group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(gone), 0) as bigint) as n_removed,
+  sha256(array_to_string(case when gone is null then w else list_filter(w, lambda x, p: not list_contains(gone, p)) end, ' ')) as kept_sha256
+from d left join r using (rid)
+"""
+
+ORACLE: dict[str, str] = {"op1_topk_search": OP1_SQL, "op7_substring_dedup": OP7_SQL}
