@@ -53,8 +53,8 @@ def leaves(c: Column, t: Type, name: str) -> list[tuple[str, Column]]:
 
 
 class Builder:
-    def __init__(self, spark: SparkSession, schema: Schema, facts: Callable[[str], DataFrame], plan: Plan, strict: bool = False, observe: Callable | None = None):
-        self.spark, self.schema, self.facts, self.plan, self.strict, self.observe = spark, schema, facts, plan, strict, observe
+    def __init__(self, spark: SparkSession, schema: Schema, facts: Callable[[str], DataFrame], plan: Plan, strict: bool = False, observe: Callable | None = None, ordered: bool = True):
+        self.spark, self.schema, self.facts, self.plan, self.strict, self.observe, self.ordered = spark, schema, facts, plan, strict, observe, ordered
         self.rows: DataFrame | None = None
         self.env: dict[str, Place] = {}
         self.predicates: dict[int, Predicate] = {}
@@ -67,9 +67,9 @@ class Builder:
 
     def source(self, p: Predicate, n: int) -> DataFrame:
         df = self.facts(p.name)
-        named = [_c(f).alias(f"l{n}_{f}") for f, _ in p.fields]
-        value = [_c("__value").alias(f"l{n}#value")] if p.value is not None else []
-        return df.select(_c("fact_id").alias(f"l{n}#id"), *named, *value)
+        named = [f"`{f}` as `l{n}_{f}`" for f, _ in p.fields]
+        value = [f"__value as `l{n}#value`"] if p.value is not None else []
+        return df.selectExpr(f"fact_id as `l{n}#id`", *named, *value)
 
     def key_place(self, p: Predicate, n: int) -> Place:
         if p.scalar:
@@ -124,6 +124,8 @@ class Builder:
             self.several(s)
 
     def order_by(self, p: Predicate, n: int) -> list[tuple[str, Column]]:
+        if not self.ordered:
+            return []
         out = [x for f, t in p.fields for x in leaves(_c(f"l{n}_{f}"), t, f"o{n}_{f}")]
         return [*out, (f"o{n}#id", _c(f"l{n}#id"))]
 
@@ -138,7 +140,8 @@ class Builder:
         for o in own:
             df = df.where(o)
         extra = self.order_by(p, n)
-        df = df.select("*", *(c.alias(name) for name, c in extra))
+        if extra:
+            df = df.select("*", *(c.alias(name) for name, c in extra))
         self.order += [name for name, _ in extra]
         if row is not None and row in self.env:
             outer.append((self.env[row].column, _c(f"l{n}#id")))

@@ -42,15 +42,15 @@ class Session:
     def plan(self, text: str) -> Plan:
         return analyse(self.schema, parse(text))
 
-    def _built(self, text: str, observe=None) -> tuple[DataFrame, Type, Builder, Plan]:
+    def _built(self, text: str, observe=None, ordered: bool = True) -> tuple[DataFrame, Type, Builder, Plan]:
         plan = self.plan(text)
-        builder = Builder(self.spark, self.schema, self.facts, plan, self.strict, observe)
+        builder = Builder(self.spark, self.schema, self.facts, plan, self.strict, observe, ordered)
         df, t = builder.build()
         return df, t, builder, plan
 
     def query(self, text: str) -> DataFrame:
         """The rows, in no order; a record head's fields are the columns, any other head is the column ``value``."""
-        df, _, builder, _ = self._built(text)
+        df, _, builder, _ = self._built(text, ordered=False)
         return result(df, builder)
 
     def ordered(self, text: str) -> DataFrame:

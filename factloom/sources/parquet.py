@@ -7,11 +7,12 @@ model has integers and strings only: money is in cents, times are microseconds s
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from factloom.schema.model import SEQUENCE_BITS, Schema
 from factloom.schema.parser import parse_schema
@@ -41,39 +42,48 @@ schema corpus {
 
 @dataclass(frozen=True)
 class Binding:
+    """SQL expressions over a table's columns."""
+
     table: str
     #: The fact's sequence, from 1; none numbers the rows of the scan, for predicates that nothing refers to.
-    sequence: Column | None
-    key: dict[str, Column]
-    value: Column | None = None
+    sequence: str | None
+    key: dict[str, str]
+    value: str | None = None
+
+
+def long(name: str) -> str:
+    return f"cast({name} as bigint)"
 
 
-def long(name: str) -> Column:
-    return F.col(name).cast("long")
+def cents(name: str) -> str:
+    return f"cast(round({name} * 100) as bigint)"
 
 
-def cents(name: str) -> Column:
-    return F.round(F.col(name) * 100).cast("long")
+def micros(name: str) -> str:
+    return f"unix_micros(cast({name} as timestamp))"
 
 
 def bindings(schema: Schema) -> dict[str, Binding]:
-    def ref(predicate: str, column: str) -> Column:
-        return F.lit(schema.get(predicate).number << SEQUENCE_BITS).cast("long") + F.col(column).cast("long") + 1
+    def ref(predicate: str, column: str) -> str:
+        return f"{schema.get(predicate).number << SEQUENCE_BITS}L + {long(column)} + 1L"
 
-    purchase = F.col("event_type") == "purchase"
-    what = F.struct(F.when(purchase, 3).otherwise(0).cast("int").alias("disc"), F.when(purchase, long("user_id")).alias("user"), F.when(~purchase, F.col("event_type")).alias("kind"))
+    def after(column: str) -> str:
+        return f"{long(column)} + 1L"
+
+    purchase = "event_type = 'purchase'"
+    what = f"named_struct('disc', if({purchase}, 3, 0), 'user', if({purchase}, {long('user_id')}, null), 'kind', if({purchase}, null, event_type))"
     return {
-        "tpch.Region": Binding("region", long("r_regionkey") + 1, {"regionkey": long("r_regionkey"), "name": F.col("r_name")}),
-        "tpch.Nation": Binding("nation", long("n_nationkey") + 1, {"nationkey": long("n_nationkey"), "name": F.col("n_name"), "region": ref("tpch.Region", "n_regionkey")}),
-        "tpch.Customer": Binding("customer", long("c_custkey") + 1, {"custkey": long("c_custkey"), "name": F.col("c_name"), "nation": ref("tpch.Nation", "c_nationkey"), "segment": F.col("c_mktsegment")}, cents("c_acctbal")),
-        "tpch.Supplier": Binding("supplier", long("s_suppkey") + 1, {"suppkey": long("s_suppkey"), "name": F.col("s_name"), "nation": ref("tpch.Nation", "s_nationkey")}, cents("s_acctbal")),
-        "tpch.Part": Binding("part", long("p_partkey") + 1, {"partkey": long("p_partkey"), "name": F.col("p_name"), "brand": F.col("p_brand"), "type": F.col("p_type"), "size": long("p_size")}, cents("p_retailprice")),
-        "tpch.Order": Binding("orders", long("o_orderkey") + 1, {"orderkey": long("o_orderkey"), "customer": ref("tpch.Customer", "o_custkey"), "status": F.col("o_orderstatus"), "priority": F.col("o_orderpriority"), "date": F.unix_micros(F.col("o_orderdate").cast("timestamp"))}, cents("o_totalprice")),
-        "tpch.LineItem": Binding("lineitem", None, {"order": ref("tpch.Order", "l_orderkey"), "line": long("l_linenumber"), "part": ref("tpch.Part", "l_partkey"), "supplier": ref("tpch.Supplier", "l_suppkey"), "shipdate": F.unix_micros(F.col("l_shipdate").cast("timestamp")), "flag": F.col("l_returnflag"), "status": F.col("l_linestatus")}, cents("l_extendedprice")),
-        "feed.Event": Binding("events", long("event_id") + 1, {"id": long("event_id"), "user": long("user_id"), "type": F.col("event_type"), "ts": F.unix_micros(F.col("ts").cast("timestamp"))}, F.col("props")),
-        "feed.Typed": Binding("events", long("event_id") + 1, {"what": what, "id": long("event_id")}),
-        "corpus.Doc": Binding("documents", long("doc_id") + 1, {"id": long("doc_id"), "lang": F.col("lang"), "source": F.col("source"), "chars": long("n_chars")}, F.col("text")),
-        "corpus.Label": Binding("labels", long("doc_id") + 1, {"doc": ref("corpus.Doc", "doc_id"), "quality": long("quality"), "toxic": long("toxic")}),
+        "tpch.Region": Binding("region", after("r_regionkey"), {"regionkey": long("r_regionkey"), "name": "r_name"}),
+        "tpch.Nation": Binding("nation", after("n_nationkey"), {"nationkey": long("n_nationkey"), "name": "n_name", "region": ref("tpch.Region", "n_regionkey")}),
+        "tpch.Customer": Binding("customer", after("c_custkey"), {"custkey": long("c_custkey"), "name": "c_name", "nation": ref("tpch.Nation", "c_nationkey"), "segment": "c_mktsegment"}, cents("c_acctbal")),
+        "tpch.Supplier": Binding("supplier", after("s_suppkey"), {"suppkey": long("s_suppkey"), "name": "s_name", "nation": ref("tpch.Nation", "s_nationkey")}, cents("s_acctbal")),
+        "tpch.Part": Binding("part", after("p_partkey"), {"partkey": long("p_partkey"), "name": "p_name", "brand": "p_brand", "type": "p_type", "size": long("p_size")}, cents("p_retailprice")),
+        "tpch.Order": Binding("orders", after("o_orderkey"), {"orderkey": long("o_orderkey"), "customer": ref("tpch.Customer", "o_custkey"), "status": "o_orderstatus", "priority": "o_orderpriority", "date": micros("o_orderdate")}, cents("o_totalprice")),
+        "tpch.LineItem": Binding("lineitem", None, {"order": ref("tpch.Order", "l_orderkey"), "line": long("l_linenumber"), "part": ref("tpch.Part", "l_partkey"), "supplier": ref("tpch.Supplier", "l_suppkey"), "shipdate": micros("l_shipdate"), "flag": "l_returnflag", "status": "l_linestatus"}, cents("l_extendedprice")),
+        "feed.Event": Binding("events", after("event_id"), {"id": long("event_id"), "user": long("user_id"), "type": "event_type", "ts": micros("ts")}, "props"),
+        "feed.Typed": Binding("events", after("event_id"), {"what": what, "id": long("event_id")}),
+        "corpus.Doc": Binding("documents", after("doc_id"), {"id": long("doc_id"), "lang": "lang", "source": "source", "chars": long("n_chars")}, "text"),
+        "corpus.Label": Binding("labels", after("doc_id"), {"doc": ref("corpus.Doc", "doc_id"), "quality": long("quality"), "toxic": long("toxic")}),
     }
 
 
@@ -82,14 +92,28 @@ def bound(read: Callable[[str], DataFrame], schema: Schema, bindings: dict[str,
 
     def facts(name: str) -> DataFrame:
         b, p = bindings[name], schema.get(name)
-        sequence = F.monotonically_increasing_id() + 1 if b.sequence is None else b.sequence
-        value = [] if b.value is None else [b.value.alias("__value")]
-        return read(b.table).select((F.lit(p.number << SEQUENCE_BITS).cast("long") + sequence).alias("fact_id"), *(c.alias(f) for f, c in b.key.items()), *value)
+        sequence = "monotonically_increasing_id() + 1L" if b.sequence is None else b.sequence
+        value = [] if b.value is None else [f"{b.value} as __value"]
+        return read(b.table).selectExpr(f"{p.number << SEQUENCE_BITS}L + {sequence} as fact_id", *(f"{e} as `{f}`" for f, e in b.key.items()), *value)
 
     return facts
 
 
+@functools.lru_cache(1)
+def schema() -> Schema:
+    return parse_schema(SCHEMA_TEXT)
+
+
+#: Columns of the tables read so far, by path, so that footers are read for them once in a process.
+_COLUMNS: dict[str, StructType] = {}
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    if path not in _COLUMNS:
+        _COLUMNS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_COLUMNS[path]).parquet(path)
+
+
 def session(spark: SparkSession, folder: str) -> Session:
     """A session over the tables of ``folder``."""
-    schema = parse_schema(SCHEMA_TEXT)
-    return Session(spark, schema, bound(lambda table: spark.read.parquet(f"{folder}/{table}.parquet"), schema, bindings(schema)), identity=folder)
+    return Session(spark, schema(), bound(lambda table: read(spark, f"{folder}/{table}.parquet"), schema(), bindings(schema())), identity=folder)
