@@ -28,7 +28,7 @@ from factloom.llm.common import chunks, mix, ragged
 from factloom.llm.sampling import held_out, per_class_sample
 
 BUCKETS, WIDTH = 1 << 17, 8
-PER_CLASS = 2500
+PER_CLASS = 1600
 ORDERS = (3, 4, 5, 6)
 SCALE = 60.0
 #: Words of the zero vector that each text's mean counts besides its own, so that one word of a short text says less.
@@ -101,7 +101,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs=8,
         known[f] += 1
     rare = known < MIN_TEXTS
     embed[rare] = 0
-    rows = [(f[ok], x[ok]) for f, x in rows for ok in [~rare[f]]]
+    for k, (f, x) in enumerate(rows):  # in place, as memory is short on a driver
+        rows[k] = (f[~rare[f]], x[~rare[f]])
     soft = rng.normal(0, 0.3, (WIDTH, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     seen_e, seen_s, seen_b = np.full((BUCKETS, 1), 1e-8, np.float32), np.full(soft.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
@@ -184,17 +185,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for own, part in chunks(toxic, [(t or "").encode() for t in texts], 2_000_000):
+            keys, texts = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), batch.column(2).to_pylist()
+            for own, part in chunks(keys, [(t or "").encode() for t in texts], 2_000_000):
                 got = features([t.decode() for t in part])
-                yield pa.RecordBatch.from_pydict({"toxic": pa.array(own, pa.int32()), "f": pa.array([f for f, _ in got], pa.list_(pa.int32())), "x": pa.array([x for _, x in got], pa.list_(pa.float32()))})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([k for k, _ in own], pa.int64()), "toxic": pa.array([k for _, k in own], pa.int32()), "f": pa.array([f for f, _ in got], pa.list_(pa.int32())), "x": pa.array([x for _, x in got], pa.list_(pa.float32()))})
 
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # 2 * PER_CLASS rows at most
-    got = chosen.orderBy("doc_id", "text").limit(4 * PER_CLASS).select("toxic", "text").mapInArrow(extract, "toxic int, f array<int>, x array<float>").toArrow()
+    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    got = chosen.mapInArrow(extract, "doc_id long, toxic int, f array<int>, x array<float>").toArrow().sort_by("doc_id")
     y = got["toxic"].to_numpy()
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(BUCKETS), 0.0, trained=False)
     rows = [(np.asarray(f.values), np.asarray(x.values)) for f, x in zip(got["f"], got["x"], strict=True)]
+    del got
     table, bias = fit(rows, y)
     return Model(table, bias + float(np.log(shares[1] / shares[0]) - np.log(y.sum() / (len(y) - y.sum()))))
 
