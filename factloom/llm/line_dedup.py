@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import materialised
 
 SIMILARITY, LEAST = 0.8, 5
-SLOTS = 1 << 20
+SLOTS = 1 << 18
 #: A line: its document, and its number with 32 bits of the text's hash, which tell rows that share an id apart.
 _AT = ["doc", "at"]
 _SPACES = "\t\r\x0b\x0c"
