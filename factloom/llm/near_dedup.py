@@ -8,13 +8,14 @@ Jaccard similarity of these is ``SIMILARITY`` or more; a *class* is a connected
 1. Document frequencies: an exchange between batches of texts (see ``batches``).
 2. Signatures: ``BANDS`` x ``ROWS`` consistent samples (gamma variates by quantile tables, drawn from hashes of shingle
    and sample number) make band keys. Texts of the same words are one node from here on.
-3. Candidates share a band key. Each node is first verified against the least and the greatest node of each of its bands'
-   groups, so a group of copies costs as much as its size. Where bands' groups still hold several components, all
-   pairs across them that share ``CROSS`` bands (and are of similar total weight) are verified too.
+3. Candidates share a band key. In each band's group, two leaders (the ends of an order by hash) are verified against
+   all others: as many pairs as the group has members, twice. Groups that then still hold several components get other
+   leaders, ``ROUNDS`` times in all or until no link is found. Groups of up to three have no other pairs.
 4. Verification computes the similarity from both documents' shingles.
 
-A pair at the threshold shares no band with a chance of ``(1 - 0.8 ** ROWS) ** BANDS``, 5 in a million, and fewer than
-two with a chance of one in ten thousand; a pair of similarity 0.85, with less than one in a hundred thousand.
+A pair at the threshold shares no band with a chance of ``(1 - 0.8 ** ROWS) ** BANDS``, 5 in a million, and eight bands
+on average; a link is found if in one of their groups either end leads in a round, or others connect the ends. All pairs
+of a large group aren't tried, as they grow with its square.
 
 Cases: null, empty and word-less texts are each a class of their own; whole texts are read; rows that share an id are
 judged by their texts, and the class id is the least id in a class (a null id never is, but for a class of nulls).
@@ -36,8 +37,8 @@ from factloom.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 2
-#: Bands that a pair across components has to share.
-CROSS = 2
+#: Times that the groups get leaders.
+ROUNDS = 4
 #: Shingles that are sampled at once.
 STEP = 400_000
 _SIGNED = np.int64
@@ -211,6 +212,17 @@ def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
     return wanted.join(vectors, "node").groupBy("a", "salt").applyInArrow(check, "a long, b long")
 
 
+def stars(placed: DataFrame, seed: int, threshold: float) -> DataFrame:
+    """In each group of ``placed`` (``key``, ``node``, ``weight``, ``component``) that holds several components, two nodes
+    paired with all others that are of another component and of a similar weight: pairs of leader ``a`` and ``b``."""
+    me = F.struct("node", "component", "weight")
+    by = F.xxhash64("node", F.lit(seed))  # the same order in all groups, so that groups of the same nodes share leaders
+    led = placed.groupBy("key").agg(F.min_by(me, by).alias("p"), F.max_by(me, by).alias("q"), F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key", F.explode(F.array("p", "q")).alias("x"))
+    alike = (F.col("weight") >= threshold * F.col("x.weight") * (1 - 1e-6)) & (F.col("x.weight") >= threshold * F.col("weight") * (1 - 1e-6))
+    joined = placed.join(led, "key").where((F.col("x.component") != F.col("component")) & alike)
+    return joined.select(F.col("x.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
     """``doc_id``, ``node`` (a hash of the words; null without any) and ``class_id`` of each row of ``docs``."""
     spark = docs.sparkSession
@@ -243,13 +255,12 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = SIMILARITY)
     known = signed.where("node is not null")
     nodes = known.groupBy("node").agg(F.min(F.struct("batch", "place")).alias("at"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     member = materialised(nodes.select("node", "weight", "at", F.explode("bands").alias("key")))
-    group = member.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    shared = member.join(group, "key")
-    pairs = shared.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b"), "weight"), F.struct(F.col("high").alias("a"), F.col("node").alias("b"), "weight"))).alias("p")).select("p.a", "p.b").where("a <> b").distinct()
-    pairs = materialised(pairs)
+    pairs = materialised(stars(member.select("key", "node", "weight", F.col("node").alias("component")), 0, threshold))
 
     # vectors of the nodes that share a band with another
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    crowded = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = member.join(crowded, "key")
+    asked = shared.select("node").distinct()
     places = asked.join(member.select("node", "at").distinct(), "node").groupBy(F.col("at.batch").alias("batch")).agg(F.collect_list("at.place").alias("places"))
 
     def vector(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,19 +275,15 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = SIMILARITY)
     vectors = materialised(with_answers(batches, answers).join(places, "batch").mapInArrow(vector, "node long, vector binary"))
     links = materialised(verified(pairs, vectors, threshold))
     found = components(links)
-    # bands' groups that still hold several components: every pair across them
     label = F.coalesce("component", "node").alias("component")
-    placed = shared.select("key", "node", "weight").join(found, "node", "left").select("key", "node", "weight", label)
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
-    left = materialised(placed.join(open_keys, "key"))
-    x, y = left.alias("x"), left.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    alike = (F.col("x.weight") >= threshold * F.col("y.weight") * (1 - 1e-6)) & (F.col("y.weight") >= threshold * F.col("x.weight") * (1 - 1e-6))
-    cross = x.join(y, apart & alike).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min(CROSS, BANDS)).select("a", "b")
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialised(verified(cross.join(done, ["a", "b"], "left_anti"), vectors, threshold))
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    for seed in range(1, ROUNDS):  # other leaders for the groups that still hold several components
+        placed = shared.select("key", "node", "weight").join(found, "node", "left").select("key", "node", "weight", label)
+        new = materialised(stars(placed, seed, threshold).join(pairs, ["a", "b"], "left_anti"))
+        more = materialised(verified(new, vectors, threshold))
+        if more.isEmpty():
+            break
+        pairs, links = pairs.unionByName(new), links.unionByName(more)
+        found = components(links)
     named = known.groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").select("node", "least", label)
     least = named.groupBy("component").agg(F.min("least").alias("class_id"))
     of_node = named.join(least, "component").select("node", "class_id")
