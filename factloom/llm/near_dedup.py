@@ -10,12 +10,16 @@ Jaccard similarity of these is ``SIMILARITY`` or more; a *class* is a connected
    and sample number) make band keys. Texts of the same words are one node from here on.
 3. Candidates share a band key. In each band's group, two leaders (the ends of an order by hash) are verified against
    all others: as many pairs as the group has members, twice. Groups that then still hold several components get other
-   leaders, ``ROUNDS`` times in all or until no link is found. Groups of up to three have no other pairs.
-4. Verification computes the similarity from both documents' shingles.
+   leaders, ``ROUNDS`` times in all or until no link is found, which only saves work for the next step.
+4. Of each group that still holds several components, every pair across them is compared, in the first band that the
+   pair shares. Members are split by total weight, as a pair of too different weights can't be similar, then by hash into
+   parts of about ``PART_WEIGHT`` or ``PART_NODES``; two parts meet in a task. The work of a group of different texts of
+   like weights grows with its square, the memory of a task doesn't.
+5. Verification computes the similarity from both documents' shingles; in step 4, of the pairs that an upper bound by
+   ``COLUMNS`` sums of weights leaves and that links found in the same task don't connect already.
 
-A pair at the threshold shares no band with a chance of ``(1 - 0.8 ** ROWS) ** BANDS``, 5 in a million, and eight bands
-on average; a link is found if in one of their groups either end leads in a round, or others connect the ends. All pairs
-of a large group aren't tried, as they grow with its square.
+So all links among pairs that share a band are found, or their ends are connected by others. A pair at the threshold
+shares no band with a chance of ``(1 - 0.8 ** ROWS) ** BANDS``, 5 in a million.
 
 Cases: null, empty and word-less texts are each a class of their own; whole texts are read; rows that share an id are
 judged by their texts, and the class id is the least id in a class (a null id never is, but for a class of nulls).
@@ -38,7 +42,11 @@ from factloom.llm.components import components
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 2
 #: Times that the groups get leaders.
-ROUNDS = 4
+ROUNDS = 2
+#: Total weight and number of the members of a part of a group, about.
+PART_WEIGHT, PART_NODES = 200_000, 256
+#: Sums of a document's weights, by hash, that bound a similarity.
+COLUMNS = 512
 #: Shingles that are sampled at once.
 STEP = 400_000
 _SIGNED = np.int64
@@ -223,6 +231,70 @@ def stars(placed: DataFrame, seed: int, threshold: float) -> DataFrame:
     return joined.select(F.col("x.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
+def across(members: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, parts: np.ndarray | None, keys: np.ndarray, band: int, threshold: float) -> list[tuple[int, int]]:
+    """Places of the similar pairs of ``members`` (sorted distinct hashes and weights each) of different ``labels``, but
+    for pairs that those returned connect; with ``parts``, pairs across them only. Pairs that share a key (0: none) of a
+    band before ``band`` are left to that band's group."""
+    n = len(members)
+    total = np.array([w.sum() for _, w in members])
+    sums = np.zeros((n, COLUMNS), np.float32)
+    for k, (h, w) in enumerate(members):
+        sums[k] = np.bincount((h % np.uint64(COLUMNS)).astype(np.int64), w, COLUMNS)
+    labels = np.unique(labels, return_inverse=True)[1]
+    found = []
+    for i in range(n - 1):
+        j = i + 1 + np.flatnonzero(labels[i + 1 :] != labels[i])
+        if parts is not None:
+            j = j[parts[j] != parts[i]]
+        j = j[(total[j] >= threshold * total[i] * (1 - 1e-6)) & (total[i] >= threshold * total[j] * (1 - 1e-6))]
+        j = j[~((keys[j, :band] == keys[i, :band]) & (keys[i, :band] != 0)).any(axis=1)]
+        if not len(j):
+            continue
+        most = np.minimum(sums[j], sums[i]).sum(axis=1)
+        for k in j[most >= threshold / (1 + threshold) * (total[j] + total[i]) * (1 - 1e-4)].tolist():
+            if labels[k] != labels[i] and similarity(members[i], members[k]) >= threshold:
+                found.append((i, k))
+                labels[labels == labels[k]] = labels[i]
+    return found
+
+
+def rest(placed: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """Links (``a``, ``b``) among all pairs of ``placed`` (``key``, ``band``, ``node``, ``weight``, ``component``) that share a key and
+    are of different components, as far as other links don't connect them. Leaders met all others in groups of up to three."""
+    keys = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("n")).where("c <> d and n > 3").select("key")
+    # similar nodes are of the same rank or of adjacent ones
+    rank = F.floor(F.log("weight") / (float(np.log(1 / threshold)) + 1e-5)).cast("int")
+    left = materialised(placed.join(keys, "key").withColumn("rank", rank))
+    parts = left.groupBy("key", "rank").agg(F.greatest(F.ceil(F.sum("weight") / PART_WEIGHT), F.ceil(F.count("*") / PART_NODES)).cast("int").alias("parts"), F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
+    up, down = (parts.select("key", (F.col("rank") + by).alias("rank"), F.col("parts").alias(f"parts{by}"), F.col("members").alias(f"members{by}")) for by in (-1, 1))
+    counts = parts.join(up, ["key", "rank"], "left").join(down, ["key", "rank"], "left")
+    # tasks of a node: those of its part with each part of its rank, and of the rank above and below
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.coalesce(n, F.lit(0)) - 1)
+    meet = lambda step, a, b: F.struct((F.col("rank") + min(step, 0)).alias("rank"), F.lit(abs(step)).alias("step"), ((a != b) | F.lit(step != 0)).alias("two"), a.alias("i"), b.alias("j"), (own if step >= 0 else own + (1 << 24)).alias("part"))
+    same = F.when((F.col("members") > 1) & (F.col("low") != F.col("high")), F.transform(upto(F.col("parts")), lambda k: meet(0, F.least(own, k), F.greatest(own, k))))
+    above = F.when(F.col("parts-1").isNotNull(), F.transform(upto(F.col("parts-1")), lambda k: meet(1, own, k)))
+    below = F.when(F.col("parts1").isNotNull(), F.transform(upto(F.col("parts1")), lambda k: meet(-1, k, own)))
+    empty = F.expr("array()").cast("array<struct<rank:int,step:int,two:boolean,i:int,j:int,part:int>>")
+    tasks = F.concat(*(F.coalesce(t, empty) for t in (same, above, below)))
+    spread = left.join(counts, ["key", "rank"]).select("key", "band", "node", "component", F.explode(tasks).alias("t"))
+    meetings = spread.groupBy("node").agg(F.collect_set(F.struct("band", "key")).alias("keys"), F.first("component").alias("component"), F.collect_list(F.struct("key", "band", "t")).alias("met"))
+    wanted = meetings.join(vectors, "node").select("node", "component", "keys", "vector", F.explode("met").alias("m"))
+    wanted = wanted.select("node", "component", "keys", "vector", "m.key", "m.band", "m.t.rank", "m.t.step", "m.t.two", "m.t.i", "m.t.j", "m.t.part")
+
+    def check(table: pa.Table) -> pa.Table:
+        nodes = table["node"].to_numpy()
+        shared = np.zeros((len(nodes), BANDS), np.int64)
+        for k, own_keys in enumerate(table["keys"].to_pylist()):
+            for x in own_keys:
+                shared[k, x["band"]] = x["key"]
+        members = [_read_vector(x.as_py()) for x in table["vector"]]
+        found = across(members, table["component"].to_numpy(), table["part"].to_numpy() if table["two"][0].as_py() else None, shared, table["band"][0].as_py(), threshold)
+        return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.int64()), "b": pa.array([nodes[k] for _, k in found], pa.int64())})
+
+    return wanted.groupBy("key", "rank", "step", "i", "j").applyInArrow(check, "a long, b long")
+
+
 def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
     """``doc_id``, ``node`` (a hash of the words; null without any) and ``class_id`` of each row of ``docs``."""
     spark = docs.sparkSession
@@ -254,7 +326,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = SIMILARITY)
     signed = materialised(with_answers(batches, answers).mapInArrow(sign, "batch long, place int, doc_id long, node long, weight double, bands array<bigint>"))
     known = signed.where("node is not null")
     nodes = known.groupBy("node").agg(F.min(F.struct("batch", "place")).alias("at"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
-    member = materialised(nodes.select("node", "weight", "at", F.explode("bands").alias("key")))
+    member = materialised(nodes.select("node", "weight", "at", F.posexplode("bands").alias("band", "key")))
     pairs = materialised(stars(member.select("key", "node", "weight", F.col("node").alias("component")), 0, threshold))
 
     # vectors of the nodes that share a band with another
@@ -276,14 +348,18 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = SIMILARITY)
     links = materialised(verified(pairs, vectors, threshold))
     found = components(links)
     label = F.coalesce("component", "node").alias("component")
+    place = lambda: shared.select("key", "band", "node", "weight").join(found, "node", "left").select("key", "band", "node", "weight", label)
     for seed in range(1, ROUNDS):  # other leaders for the groups that still hold several components
-        placed = shared.select("key", "node", "weight").join(found, "node", "left").select("key", "node", "weight", label)
+        placed = place()
         new = materialised(stars(placed, seed, threshold).join(pairs, ["a", "b"], "left_anti"))
         more = materialised(verified(new, vectors, threshold))
         if more.isEmpty():
             break
         pairs, links = pairs.unionByName(new), links.unionByName(more)
         found = components(links)
+    more = materialised(rest(place(), vectors, threshold))
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     named = known.groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").select("node", "least", label)
     least = named.groupBy("component").agg(F.min("least").alias("class_id"))
     of_node = named.join(least, "component").select("node", "class_id")

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -104,6 +105,31 @@ def test_near_dedup(spark):
     assert near_dedup.classes(frame(spark, [])).count() == 0
 
 
+def crowd(copies, seed=11, first=0):
+    """(doc_id, text): an original, copies with two other words each (similar to it, not to each other), and longer ones."""
+    r = random.Random(seed)
+    words = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    out = [(first, " ".join(words))]
+    for k in range(copies):
+        t = list(words)
+        for at in (r.randrange(5, 95), r.randrange(105, 195)):
+            t[at] = f"own{first}x{k}x{at}"
+        out.append((first + 1 + k, " ".join(t)))
+    out += [(first + 1 + copies + k, " ".join([*words, *(f"tail{first}x{k}x{i}" for i in range(4 * k))])) for k in range(1, 20)]
+    return out
+
+
+def test_near_dedup_of_an_original_with_hundreds_of_edited_copies(spark, monkeypatch):
+    rows = crowd(330)
+    expected = near_brute(rows, 5, 0.8)
+    assert {expected[k] for k in range(331)} == {0} and len(set(expected.values())) > 1
+    assert len(set(near_brute(rows[1:331], 5, 0.8).values())) > 100  # the copies are held together by the original
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, rows)).collect()} == expected
+    monkeypatch.setattr(near_dedup, "PART_NODES", 30)
+    rows = crowd(60, 12, 20_000) + crowd(60, 13, 30_000) + documents(8, 20)
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, rows)).collect()} == near_brute(rows, 5, 0.8)
+
+
 def test_verification_is_by_weights():
     import numpy as np
 
