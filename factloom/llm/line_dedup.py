@@ -2,7 +2,8 @@
 
 A line is its set of words (between spaces, tabs and other ASCII white space). A line goes if a line earlier in the
 order of (``doc_id``, line number, hash of the text) has a Jaccard similarity of ``SIMILARITY`` or more with it, judged
-on the input. Lines of fewer than ``LEAST`` distinct words stay and aren't compared.
+on the input. Lines of fewer than ``least`` distinct words stay and aren't compared: ``LEAST`` by default, 1 in the query
+and the pipeline, which judge every line with a word.
 
 1. Lines of equal sets form a class, known by its first line; all others of a class go.
 2. The words of a class are ordered by rarity (counts over all lines in ``SLOTS`` slots by hash, in steps of an eighth

@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.decisions(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = line_dedup.decisions(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed_lines"))
 
 

@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from factloom.llm import line_dedup, near_dedup, substring_dedup
+import corpus_pipeline
+from factloom.llm import line_dedup, near_dedup, queries, substring_dedup
 from tests.llm.data import documents, frame
 
 
@@ -67,6 +68,19 @@ def test_line_dedup_of_repeated_and_no_rows(spark):
     assert line_dedup.decisions(frame(spark, [])).count() == 0
 
 
+def test_short_lines_are_judged_by_the_query_and_the_pipeline(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(k, "\n".join(" ".join(r.choice("abcdefg") for _ in range(r.randint(0, 6))) for _ in range(8))) for k in range(40)]
+    rows += [(100, "Menu\nHome\n\n \t"), (101, "Home\nMenu\n\n \t"), (102, "漢字だけの行\na a a b"), (103, "漢字だけの行\nb a\nnew"), (104, None), (105, "")]
+    expected = line_brute(rows, 0.8, 1)
+    assert expected[101] == (4, [0, 1])
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op2_line_dedup(spark, str(tmp_path)).collect()
+    assert {x.doc_id: (x.n_lines, [int(k) for k in x.removed_lines.split(",") if k]) for x in got} == expected
+    kept = {x.doc_id: x.text for x in corpus_pipeline.lines(spark, frame(spark, rows), "").collect()}
+    assert kept == {d: t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in expected[d][1]) for d, t in rows}
+
+
 def near_brute(rows, size, t):
     counts = {}
     for d, text in rows:
