@@ -144,6 +144,12 @@ def test_near_dedup_of_an_original_with_hundreds_of_edited_copies(spark, monkeyp
     assert {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, rows)).collect()} == near_brute(rows, 5, 0.8)
 
 
+def test_near_dedup_of_groups_whose_leaders_find_nothing(spark, monkeypatch):
+    rows = crowd(60, 14)
+    monkeypatch.setattr(near_dedup, "verified", lambda pairs, vectors, threshold: pairs.limit(0))
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, rows)).collect()} == near_brute(rows, 5, 0.8)
+
+
 def test_verification_is_by_weights():
     import numpy as np
 
