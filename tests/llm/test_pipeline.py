@@ -1,5 +1,12 @@
 import corpus_pipeline
-from tests.llm.data import documents
+from tests.llm.data import documents, frame
+from tests.llm.test_dedup import crowd, near_brute
+
+
+def test_the_near_duplicate_stage_keeps_one_of_a_crowd(spark):
+    rows = crowd(330, 15, 50_000) + documents(n=20)
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(near_brute(rows, 5, 0.8).values()))
 
 
 def test_the_pipeline_runs_over_odd_documents(spark, tmp_path):
