@@ -8,7 +8,8 @@ beginnings, and what passes is compared in full. Around each hit, Myers' bit-par
 
 The items are sent to the workers in parts of ``PART`` bytes at most; each part is one scan of the documents.
 
-Cases: a null or empty text, or item, matches nothing; items under ``SHORTEST`` normal bytes are looked for unchanged,
+Cases: a null or empty text, or item, matches nothing; an item with a null id counts in ``clean`` but has no row in
+``matches``; items under ``SHORTEST`` normal bytes are looked for unchanged,
 as whole words. Of items that repeat, each reports its hits. Rows that repeat a document repeat its hits. Texts are
 scanned whole. The occurrence reported is the one of least distance, the first of them.
 """
@@ -169,16 +170,17 @@ def parts(items: Iterator[tuple[int, bytes]]) -> list[list[tuple[int, bytes]]]:
     return out
 
 
-def _sent(docs: DataFrame, benchmark: DataFrame) -> list:
-    """The items with a text, normal, as broadcasts of bounded size."""
-    source = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
+def _sent(docs: DataFrame, benchmark: DataFrame, with_id: bool) -> list:
+    """The items with a text (and an id), normal, as broadcasts of bounded size."""
+    source = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    source = source.where("item_id is not null") if with_id else source
     rows = ((r.item_id, normal(r.text)) for r in source.toLocalIterator())
     return [docs.sparkSession.sparkContext.broadcast(p) for p in parts((i, x) for i, x in rows if x)]
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, unchanged, that hold no occurrence of an item."""
-    for sent in _sent(docs, benchmark):
+    for sent in _sent(docs, benchmark, False):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value)
@@ -198,7 +200,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item of which it holds an occurrence: ``HITS``; places are in the normal form."""
     spark = docs.sparkSession
     found = None
-    for sent in _sent(docs, benchmark):
+    for sent in _sent(docs, benchmark, True):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value)

@@ -54,6 +54,13 @@ def test_matches_by_brute_force(spark):
     assert decontaminate.matches(frame(spark, []), bench).count() == decontaminate.matches(df, bench.limit(0)).count() == 0
 
 
+def test_items_without_an_id_are_cleaned_too(spark):
+    bench = spark.createDataFrame([(None, "a sentence of the benchmark"), (2, "another one of its sentences")], "item_id long, text string")
+    docs = frame(spark, [(1, "with a sentence of the benchmark in it"), (2, "nothing at all"), (3, "and another one of its sentences")])
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [2]
+    assert [(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()] == [(3, 2)]
+
+
 def test_normal_forms_agree():
     for t in ("A  b,C_d", "É-x ß", "", "  ", "x\u0000y"):
         assert normal_many([t.encode()]) == [normal(t)]
