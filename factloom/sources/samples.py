@@ -17,6 +17,7 @@ SAMPLES: dict[str, tuple[str, str]] = {
     "cmp_range": ("{k = K} where tpch.Order {orderkey = K, date = D}; D >= 820454400000000; D < 852076800000000", "select o_orderkey as k from orders where o_orderdate>=timestamp '1996-01-01' and o_orderdate<timestamp '1997-01-01'"),
     "join_shared_var": ("{name = N, type = T} where feed.Event {user = U, type = T}; tpch.Customer {custkey = U, name = N}", "select c_name as name, event_type as type from events join customer on user_id=c_custkey"),
     "join_trailing_field": ("{s = S, c = C} where tpch.Supplier {suppkey = S, nation = N}; tpch.Customer {custkey = C, nation = N}; C < 20", "select s_suppkey as s, c_custkey as c from supplier join customer on s_nationkey=c_nationkey where c_custkey<20"),
+    "join_trailing_field_whole": ("{s = S, c = C} where tpch.Supplier {suppkey = S, nation = N}; tpch.Customer {custkey = C, nation = N}", "select s_suppkey as s, c_custkey as c from supplier join customer on s_nationkey=c_nationkey"),
     "ref_follow": ("{nation = N, region = R} where X = tpch.Region {name = R}; tpch.Nation {name = N, region = X}", "select n_name as nation, r_name as region from nation join region on n_regionkey=r_regionkey"),
     "nested_pattern": ("{name = N} where tpch.Nation {name = N, region = tpch.Region {regionkey = 1}}", "select n_name as name from nation join region on n_regionkey=r_regionkey where r_regionkey=1"),
     "nested_twice": ('{k = K} where tpch.Order {orderkey = K, customer = tpch.Customer {segment = "MACHINERY", nation = tpch.Nation {nationkey = 3}}}', "select o_orderkey as k from orders join customer on o_custkey=c_custkey where c_mktsegment='MACHINERY' and c_nationkey=3"),
@@ -43,6 +44,7 @@ SAMPLES: dict[str, tuple[str, str]] = {
     "disjunction": ("{k = K} where tpch.Customer {custkey = K} | tpch.Supplier {suppkey = K}", "select c_custkey as k from customer union all select s_suppkey from supplier"),
     "disj_two_filters": ('{k = K} where tpch.Part {partkey = K, size = 11} | tpch.Part {partkey = K, brand = "Brand#2"}', "select p_partkey as k from part where p_size=11 union all select p_partkey from part where p_brand='Brand#2'"),
     "disj_joined": ("{n = N, k = K} where tpch.Nation {nationkey = N}; X = tpch.Nation {nationkey = N}; tpch.Customer {custkey = K, nation = X} | tpch.Supplier {suppkey = K, nation = X}; K < 40", "select n_nationkey::bigint as n, c_custkey as k from nation join customer on c_nationkey=n_nationkey where c_custkey<40 union all select n_nationkey::bigint, s_suppkey from nation join supplier on s_nationkey=n_nationkey where s_suppkey<40"),
+    "disj_joined_whole": ("{n = N, k = K} where tpch.Nation {nationkey = N}; X = tpch.Nation {nationkey = N}; tpch.Customer {custkey = K, nation = X} | tpch.Supplier {suppkey = K, nation = X}", "select n_nationkey::bigint as n, c_custkey as k from nation join customer on c_nationkey=n_nationkey union all select n_nationkey::bigint, s_suppkey from nation join supplier on s_nationkey=n_nationkey"),
     "disj_never": ("{k = K} where tpch.Supplier {suppkey = K} | never", "select s_suppkey as k from supplier"),
     "row_bind_disj": ("{k = P.partkey} where P = tpch.Part {size = 5} | tpch.Part {size = 7}", "select p_partkey as k from part where p_size in (5,7)"),
     "unit": ('{a = X, b = "k"} where X = 42', "select 42::bigint as a, 'k' as b"),
