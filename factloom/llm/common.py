@@ -34,7 +34,15 @@ def materialised(df: DataFrame, path: str | None = None) -> DataFrame:
     df.write.parquet(path)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Frees the files of a table of ``materialised`` that no unfinished result reads any more."""
+    table.limit(0).write.mode("overwrite").parquet(f"{table.stored_at}.none")
+    table.sparkSession.read.schema(table.schema).parquet(f"{table.stored_at}.none").write.mode("overwrite").parquet(table.stored_at)
 
 
 def n_partitions(spark: SparkSession) -> int:

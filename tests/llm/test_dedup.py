@@ -81,6 +81,25 @@ def test_short_lines_are_judged_by_the_query_and_the_pipeline(spark, tmp_path):
     assert kept == {d: t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in expected[d][1]) for d, t in rows}
 
 
+def test_line_dedup_of_crowds_and_its_second_round(spark, monkeypatch):
+    r = random.Random(3)
+    base = [f"b{k}" for k in range(40)]
+    rows = []
+    for k in range(400):  # all share words; some are like the first line, others like each other only
+        words = list(base)
+        for at in r.sample(range(40), r.choice([1, 3, 5, 8])):
+            words[at] = f"v{r.randrange(60)}"
+        rows.append((k, " ".join(words)))
+    long = [f"l{k}" for k in range(300)]  # over LONG words
+    rows += [(1000 + k, " ".join(w if r.random() < 1 - k / 100 else f"o{r.randrange(10**6)}" for w in long)) for k in range(20)]
+    calls = []
+    verified = line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, docs, t: calls.append(pairs.count()) or verified(pairs, docs, t))
+    got = {x.doc_id: (x.n_lines, x.removed) for x in line_dedup.decisions(frame(spark, rows)).collect()}
+    assert got == line_brute(rows, 0.8, 5)
+    assert len(calls) == 2 and calls[1] > 0  # pairs that the first round skipped
+
+
 def near_brute(rows, size, t):
     counts = {}
     for d, text in rows:
