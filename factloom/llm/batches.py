@@ -20,10 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import encode_words, materialised, mix, ragged, text_chunks
+from factloom.llm.common import encode_words, materialised, mix, n_partitions, ragged, text_chunks
 
 #: Bytes of text in a batch.
 CHUNK = 4_000_000
+#: Hashes in a bucket of an exchange, 64 MB as they are unpacked.
+BUCKET = 8_000_000
 BATCH = "batch long, doc_ids array<bigint>, counts array<int>, vocabulary binary, vocabulary_lengths binary, words binary"
 SENT = "bucket int, batch long, n int, payload binary"
 ANSWER = "bucket int, batch long, answer binary"
@@ -59,6 +61,12 @@ def word_batches(docs: DataFrame) -> DataFrame:
     return materialised(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BATCH))
 
 
+def buckets_for(batches: DataFrame) -> int:
+    """Buckets of an exchange such that one holds about ``BUCKET`` hashes at most, if each word has one."""
+    words = batches.agg(F.sum(F.expr("aggregate(counts, 0L, (n, x) -> n + x)"))).first()[0] or 0
+    return max(n_partitions(batches.sparkSession), -(-words // BUCKET))
+
+
 class Words:
     """A batch, unpacked."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,9 +17,11 @@ CHUNK_BYTES = 6_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path below ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
+    """A new folder's path below ``spark.checkpoint.dir``; a temporary folder only where that is unset on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return f"{base.rstrip('/')}/factloom/{uuid.uuid4().hex}"
@@ -33,7 +36,8 @@ def materialised(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or shared_dir(df.sparkSession)
     df.write.parquet(path)
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    if (jvm := getattr(df.sparkSession, "_jvm", None)) is not None:
+        jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -45,6 +49,12 @@ def discard(table: DataFrame) -> None:
     table.sparkSession.read.schema(table.schema).parquet(f"{table.stored_at}.none").write.mode("overwrite").parquet(table.stored_at)
 
 
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` whatever the columns' names: Spark can't resolve some, such as those with a dot."""
+    names = df.columns
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(lambda batches: run(b.rename_columns(names) for b in batches), schema)
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

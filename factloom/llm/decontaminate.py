@@ -8,8 +8,8 @@ beginnings, and what passes is compared in full. Around each hit, Myers' bit-par
 
 The items are sent to the workers in parts of ``PART`` bytes at most; each part is one scan of the documents.
 
-Cases: a null or empty text, or item, matches nothing; an item with a null id counts in ``clean`` but has no row in
-``matches``; items under ``SHORTEST`` normal bytes are looked for unchanged,
+Cases: a null or empty text, or item, matches nothing; an item with a null id counts as any other, and its rows in
+``matches`` have a null ``item_id``; items under ``SHORTEST`` normal bytes are looked for unchanged,
 as whole words. Of items that repeat, each reports its hits. Rows that repeat a document repeat its hits. Texts are
 scanned whole. The occurrence reported is the one of least distance, the first of them.
 """
@@ -20,12 +20,13 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import chunks
+from factloom.llm.common import chunks, map_batches
 
 #: Bytes of a piece that are hashed (two words of eight, one shared byte), so also the least length of a piece.
 HEAD = 15
@@ -94,7 +95,15 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, bytes]]):
         self.items = items
-        self.short = [(k, x) for k, (_, x) in enumerate(items) if 0 < len(x) < SHORTEST]
+        self.short: dict[bytes, list[int]] = defaultdict(list)
+        for k, (_, x) in enumerate(items):
+            if 0 < len(x) < SHORTEST:
+                self.short[x].append(k)
+        self.words = ahocorasick.Automaton()
+        for x in self.short:
+            self.words.add_word(f" {x.decode('latin-1')} ", x)  # a character a byte
+        if self.short:
+            self.words.make_automaton()
         self.heads: dict[bytes, list[tuple[int, int, bytes]]] = defaultdict(list)
         for k, (_, x) in enumerate(items):
             if len(x) >= SHORTEST:
@@ -150,11 +159,11 @@ class Matcher:
                     begin, length = lo + end - back - int(starts[k]), back
                 if (k, item) not in best or (distance, begin) < best[k, item][:2]:
                     best[k, item] = (distance, begin, length)
-        for item, x in self.short:
-            word = b" " + x + b" "
+        if self.short:
             for k, t in enumerate(texts):
-                if (p := (b" " + t + b" ").find(word)) >= 0:
-                    best[k, item] = (0, p, len(x))
+                for end, x in self.words.iter(f" {t.decode('latin-1')} "):
+                    for item in self.short[x]:
+                        best.setdefault((k, item), (0, end - len(x) - 1, len(x)))  # places come in order
         return [(k, item, *v) for (k, item), v in best.items()]
 
 
@@ -170,17 +179,16 @@ def parts(items: Iterator[tuple[int, bytes]]) -> list[list[tuple[int, bytes]]]:
     return out
 
 
-def _sent(docs: DataFrame, benchmark: DataFrame, with_id: bool) -> list:
-    """The items with a text (and an id), normal, as broadcasts of bounded size."""
+def _sent(docs: DataFrame, benchmark: DataFrame) -> list:
+    """The items with a text, normal, as broadcasts of bounded size."""
     source = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    source = source.where("item_id is not null") if with_id else source
     rows = ((r.item_id, normal(r.text)) for r in source.toLocalIterator())
     return [docs.sparkSession.sparkContext.broadcast(p) for p in parts((i, x) for i, x in rows if x)]
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, unchanged, that hold no occurrence of an item."""
-    for sent in _sent(docs, benchmark, False):
+    for sent in _sent(docs, benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value)
@@ -192,7 +200,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         keep[places[k]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_batches(docs, run, docs.schema)
     return docs
 
 
@@ -200,7 +208,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item of which it holds an occurrence: ``HITS``; places are in the normal form."""
     spark = docs.sparkSession
     found = None
-    for sent in _sent(docs, benchmark, True):
+    for sent in _sent(docs, benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value)

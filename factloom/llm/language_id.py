@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import map_batches
 from factloom.llm.sampling import held_out, per_class_sample
 
 FEATURES, ORDERS = 1 << 16, 3
@@ -203,12 +204,13 @@ def train(docs: DataFrame) -> Model:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            got = list(counts(batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([langs[k] for k, _, _ in got]), "f": pa.array([f for _, f, _ in got], pa.list_(pa.int32())), "n": pa.array([n for _, _, n in got], pa.list_(pa.int32()))})
+            ids, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            got = list(counts(batch.column(2).to_pylist()))
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[k] for k, _, _ in got], pa.int64()), "lang": pa.array([langs[k] for k, _, _ in got], pa.string()), "f": pa.array([f for _, f, _ in got], pa.list_(pa.int32())), "n": pa.array([n for _, _, n in got], pa.list_(pa.int32()))})
 
     chosen = rows.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi")  # SAMPLE ids at most
-    got = chosen.orderBy("doc_id").select("lang", "text").limit(2 * SAMPLE).mapInArrow(features, "lang string, f array<int>, n array<int>").toArrow()
+    found = chosen.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(features, "doc_id long, lang string, f array<int>, n array<int>")
+    got = found.orderBy("doc_id", F.xxhash64("lang", "f", "n")).limit(2 * SAMPLE).toArrow()  # repeated ids may be many rows
     languages = sorted(set(got["lang"].to_pylist()))
     if not languages:
         return Model([], np.zeros((FEATURES, 0)), np.zeros(0), np.ones(FEATURES), 1.0)
@@ -242,7 +244,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    unlike = "_" * (1 + max(map(len, keep), default=0))
+    asked = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias(unlike))
+    return map_batches(asked, run, schema)
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -254,4 +258,4 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             langs, scores = broadcast.value.predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([x != UNDECIDED and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

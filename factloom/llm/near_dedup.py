@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.batches import ANSWER, SENT, Words, answered, pack, rows_by_bucket, unpack, with_answers, word_batches
-from factloom.llm.common import materialised, mix, n_partitions, odd_constants, rolling
+from factloom.llm.batches import ANSWER, SENT, Words, answered, pack, rows_by_bucket, unpack, with_answers, word_batches, buckets_for
+from factloom.llm.common import materialised, mix, odd_constants, rolling
 from factloom.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -206,7 +206,8 @@ def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
 
     Pairs meet in groups of one ``a`` and a salt, that node's vector with each: a node with very many pairs is many groups.
     """
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(64)).alias("salt"))
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART_NODES).alias("salts"))
+    salted = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
     wanted = salted.select("a", "salt", F.col("b").alias("node")).unionByName(salted.select("a", "salt", F.col("a").alias("node")).distinct())
 
     def check(table: pa.Table) -> pa.Table:
@@ -298,9 +299,9 @@ def rest(placed: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
 def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
     """``doc_id``, ``node`` (a hash of the words; null without any) and ``class_id`` of each row of ``docs``."""
     spark = docs.sparkSession
-    buckets = n_partitions(spark)
     batches = word_batches(docs)
     total = batches.agg(F.sum(F.expr("aggregate(counts, 0L, (n, x) -> n + if(x > 0, 1L, 0L))"))).first()[0] or 0
+    buckets = buckets_for(batches)
     answers = materialised(frequencies(batches, size, buckets))
 
     def sign(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,5 +376,6 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, threshold: float = SIMILAR
     ids = docs.select(row.alias("row"), "doc_id").distinct()
     kept = materialised(ids.join(found, "row").groupBy("class_id").agg(F.min(F.struct("doc_id", "row")).alias("k")).select(F.col("k.row").alias("row")))
     d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), row.alias("row"))
-    number = F.row_number().over(Window.partitionBy("row").orderBy("row"))
+    # rows that differ, though their hashes don't, all stay
+    number = F.row_number().over(Window.partitionBy("row", "d.doc_id", F.hash("d.text")).orderBy("row"))
     return d.join(kept, "row", "left_semi").withColumn("number", number).where("number = 1").select("d.*")

@@ -11,7 +11,7 @@ run of spaces, or a line feed that no piece holds: each stretch between such pla
 worker keeps the segmentations of short stretches that it has seen.
 
 Cases: a null text is encoded like an empty one, to no ids, and decodes to the empty text; ids that are null decode to
-the empty text. A column of the output's name that the input has already is replaced; all other columns are kept.
+the empty text; an id outside the vocabulary decodes to U+FFFD, and one to three bytes at the end, no whole id, to nothing. A column of the output's name that the input has already is replaced; all other columns are kept.
 """
 
 from __future__ import annotations
@@ -26,10 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from factloom.llm.common import map_batches, ragged
+
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Stretches that a worker keeps, and the longest of them in characters.
 CACHE, CACHED_LENGTH = 400_000, 64
+#: Transitions of the automaton that a worker adds to it, so that failure links need not be followed again.
+LEARNT = 1_000_000
 #: Bytes of text that are unpacked at once.
 STEP = 4_000_000
 
@@ -88,9 +92,11 @@ class Model:
             out[k] = text[k].replace(SPACE, " ").encode()
         for b, k in self.bytes.items():
             out[k] = bytes([b])
+        out.append("\ufffd".encode())
         self.piece_bytes = np.frombuffer(b"".join(out), np.uint8)
         self.piece_lengths = np.array([len(x) for x in out], np.int64)
         self.cache: dict[str, bytes] = {}
+        self.learnt = 0
 
     def segment(self, text: str) -> list[int]:
         """Ids of ``text`` (with ``▁`` for spaces) of the greatest total score."""
@@ -105,7 +111,10 @@ class Model:
                 f = s
                 while f and c not in nexts[f]:
                     f = fail[f]
-                t = nexts[s][c] = nexts[f].get(c, 0)  # the next time without failure links
+                t = nexts[f].get(c, 0)
+                if self.learnt < LEARNT:  # the next time without failure links
+                    nexts[s][c] = t
+                    self.learnt += 1
             s = t
             most, step = best[i - 1] + unknown, (1, -1)
             o = s if own[s] else output[s]
@@ -148,12 +157,12 @@ class Model:
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """The UTF-8 texts whose ids, ``lengths`` of each, stand in ``ids`` one after another."""
-        from factloom.llm.common import ragged
-
+        other = len(self.piece_lengths) - 1
+        ids = np.where((ids < 0) | (ids > other), other, ids)
         flat, got = ragged(self.piece_bytes, self.piece_lengths, ids)
         ends = np.concatenate([[0], np.cumsum(got)])[np.concatenate([[0], np.cumsum(lengths)])]
         raw = flat.tobytes()
-        return [raw[a + 1 : b] if b > a else b"" for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return [raw[a + raw.startswith(b" ", a, b) : b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 @functools.lru_cache(2)
@@ -191,7 +200,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids
                 coded = _with(part, out, pa.array([m.encode(t) for t in part.column(text).to_pylist()], pa.binary()))
                 yield coded if keep_text else coded.select([x for x in coded.schema.names if x != text])
 
-    return docs.mapInArrow(run, _appended(docs if keep_text else docs.drop(text), out, T.BinaryType()))
+    return map_batches(docs, run, _appended(docs if keep_text else docs.drop(text), out, T.BinaryType()))
 
 
 def decode(encoded: DataFrame, model_path: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -201,8 +210,8 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "ids", out: str = "te
         m = model(model_path)
         for batch in batches:
             for part in _steps(batch, ids):
-                raw = [x or b"" for x in part.column(ids).to_pylist()]
+                raw = [(x or b"")[: len(x or b"") // 4 * 4] for x in part.column(ids).to_pylist()]
                 texts = m.decode(np.frombuffer(b"".join(raw), np.int32), np.array([len(x) // 4 for x in raw], np.int64))
                 yield _with(part, out, pa.array([t.decode(errors="replace") for t in texts], pa.string()))
 
-    return encoded.mapInArrow(run, _appended(encoded, out, T.StringType()))
+    return map_batches(encoded, run, _appended(encoded, out, T.StringType()))

@@ -27,8 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factloom.llm.batches import ANSWER, SENT, Words, answered, bits, rows_by_bucket, split, with_answers, word_batches
-from factloom.llm.common import materialised, n_partitions, rolling
+from factloom.llm.batches import ANSWER, SENT, Words, answered, bits, buckets_for, rows_by_bucket, split, with_answers, word_batches
+from factloom.llm.common import materialised, rolling
 
 WINDOW = 13
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -94,7 +94,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     """A row ``RESULT`` for each document, and ``kept_text`` if asked for."""
     block = (window + 1) // 2
     batches = word_batches(docs)
-    buckets = n_partitions(docs.sparkSession)
+    buckets = buckets_for(batches)
 
     def probe(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:

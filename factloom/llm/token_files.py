@@ -44,7 +44,8 @@ class WordTokenizer:
 
     A text's ids are its words' ids in turn. A word of Latin letters and the punctuation behind it are separate units
     to such a tokenizer, which lowers letters; so a worker encodes each lower-cased run of letters once, many in one
-    call: a token that ends in the word-end mark ends a run. Any other word is encoded as it stands.
+    call: a token that ends in the word-end mark ends a run. Any other word is encoded as it stands. With a file of whose
+    tokens this doesn't hold, by a probe, whole texts are encoded as they stand.
     """
 
     def __init__(self, path: str):
@@ -57,6 +58,10 @@ class WordTokenizer:
         self.ends[[k for x, k in vocabulary.items() if x.endswith("</w>")]] = True
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.by_word = True
+        probe = ["Ab, cd  ef\tGH!? x2y ...no\n\u00c9t\u00e9 ab-cd (ef) it's 'tis \u4f60\u597d 12.5 z", "a b c", " lead trail "]
+        got = self([t.encode() for t in probe], 0)[0].tolist()
+        self.by_word = got == [k for t in probe for k in [*self.library.encode(t, add_special_tokens=False).ids, 0]]
 
     def units(self, runs: list[bytes], others: list[bytes]) -> dict[bytes, bytes]:
         """The ids of each unit as 32-bit integers; those seen not long ago are kept, in two generations."""
@@ -86,6 +91,9 @@ class WordTokenizer:
 
     def __call__(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text); each text ends with ``end_id``."""
+        if not self.by_word:
+            each = [np.array([*e.ids, end_id], np.uint32) for e in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *each]), np.array([len(x) for x in each], np.int64)
         words, index, counts = encode_words(texts)
         whole = pa.array(words, pa.binary()).cast(pa.string())
         run = pc.utf8_rtrim(whole, PUNCTUATION)
@@ -122,7 +130,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             )
             done += len(tokens)
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")  # very many rows may share an id, or have none
     ordered.mapInArrow(encode, SEGMENT).write.parquet(path)
 
 

@@ -13,7 +13,7 @@ exact over all rows. Queries of a shard are dealt in groups of about ``GROUP``,
 Cases: a vector that is null, or holds a null or a non-finite component, takes no part, nor does a null ``vec_id``;
 shorter vectors count as filled with zeros; an empty vector has score 0 with any other. Rows that share a ``vec_id``
 are candidates each, but never for a query of that id; of queries that share an id, one (of the smallest vector) is
-asked. With fewer than k candidates all come back. An empty table gives no rows.
+asked. Components and scores beyond 64 bits are the greatest (or least) of 64 bits. With fewer than k candidates all come back. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -80,10 +80,14 @@ def scan(best: Best, qids: np.ndarray, q: np.ndarray, ids: np.ndarray, e: np.nda
         r = f @ rotation
         bound = qr[live, :w] @ r[:, :w].T + np.outer(q_rest[live], np.linalg.norm(r[:, w:], axis=1))
         left = (bound + slack[live, None] >= best.threshold[live, None]) & (own[None, :] != qids[live, None])
-        small = q_norm.max() * norms.max() < 2.0**52  # then sums of doubles are exact
+        most = q_norm.max() * norms.max()
+        small, wide = most < 2.0**52, most >= 2.0**62  # sums of doubles are exact; sums don't fit 64 bits
         for k in np.flatnonzero(left.any(axis=1)):
             c = np.flatnonzero(left[k])
-            s = (f[c] @ qf[live[k]]).astype(np.int64) if small else block[c] @ q[live[k]]
+            if wide:
+                s = np.clip(block[c].astype(object) @ q[live[k]].astype(object), -(2**63), 2**63 - 1).astype(np.int64)
+            else:
+                s = (f[c] @ qf[live[k]]).astype(np.int64) if small else block[c] @ q[live[k]]
             ok = s >= best.threshold[live[k]]
             if ok.any():
                 best.add(live[k], own[c[ok]], s[ok])

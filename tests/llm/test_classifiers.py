@@ -1,5 +1,10 @@
+import collections
+import math
 import random
+import re
 
+import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from factloom.llm import language_id, toxicity, url_filter
@@ -93,3 +98,106 @@ def test_url_filter(spark):
     assert sum(right) >= 0.95 * len(right)
     assert "Python" not in url_filter.judge(df, *m)._jdf.queryExecution().toString()
     assert url_filter.judge(df.limit(0), *m).count() == 0
+
+
+M = (1 << 64) - 1
+TEXTS = [None, "", "12 !?", "a", "É", "Le été que\nthe ﬁ 漢字 the", "ab" * 40, "x1y_z <b> idiot idiott IDIOT", "é" * 5 + " naïve word"]
+
+
+def test_language_scores_by_a_plain_program():
+    r = np.random.default_rng(3)
+    w, bias, idf = r.normal(0, 1, (language_id.FEATURES, 3)), np.array([0.1, -0.2, 0.3]), r.uniform(1, 5, language_id.FEATURES)
+    langs, scores = language_id.Model(["a", "b", "c"], w, bias, idf, 1.7).predict(TEXTS)
+    for t, lang, score in zip(TEXTS, langs, scores, strict=True):
+        c = [ord(x) if x.isalpha() else 32 for x in (t or "").lower()]
+        tf = collections.Counter()
+        for i in range(len(c)):
+            h = 0
+            for n in range(min(3, len(c) - i)):
+                h = (h + c[i + n]) * 0x9E3779B97F4A7C15 & M
+                tf[((h ^ h >> 29) >> 40 - n) % language_id.FEATURES] += 1
+        if all(x == 32 for x in c):
+            assert (lang, score) == ("und", 0)
+            continue
+        total = sum(n * idf[f] for f, n in tf.items())
+        s = [math.exp((sum(language_id.SCALE * n * idf[f] / total * w[f, k] for f, n in tf.items()) + bias[k]) / 1.7) for k in range(3)]
+        assert lang == "abc"[s.index(max(s))] and abs(score - max(s) / sum(s)) < 1e-3
+
+
+def test_ftrl_and_temperature_by_dense_programs(monkeypatch):
+    monkeypatch.setattr(language_id, "FEATURES", 12)
+    r = np.random.default_rng(1)
+    rows = [(np.sort(r.choice(12, 4, replace=False)), r.uniform(0, 3, 4)) for _ in range(30)]
+    labels = r.integers(0, 3, 30)
+    w, b = language_id.ftrl(rows, labels, 3, alpha=0.5, beta=1.0, l1=0.3, l2=0.05, epochs=2, seed=7)
+    z, n, order = np.zeros((13, 3)), np.zeros((13, 3)), np.random.default_rng(7)
+
+    def now():
+        out = np.zeros((13, 3))
+        for f in range(13):
+            for c in range(3):
+                l1 = 0.3 if f < 12 else 0
+                if abs(z[f, c]) > l1:
+                    out[f, c] = -(z[f, c] - math.copysign(l1, z[f, c])) / ((1.0 + math.sqrt(n[f, c])) / 0.5 + 0.05)
+        return out
+
+    for _ in range(2):
+        for k in order.permutation(30):
+            x = np.zeros(13)
+            x[rows[k][0]], x[12] = rows[k][1], 1
+            own = now()
+            p = np.exp(x @ own)
+            g = np.outer(x, p / p.sum() - np.eye(3)[labels[k]])
+            z += g - (np.sqrt(n + g * g) - np.sqrt(n)) / 0.5 * own
+            n += g * g
+    assert np.allclose(np.vstack([w, b]), now())
+    s = r.normal(0, 6, (200, 3))
+    y = np.array([r.choice(3, p=np.exp(v / 2.5) / np.exp(v / 2.5).sum()) for v in s])
+    assert 1.7 < language_id.temperature(s, y) < 3.7 and language_id.temperature(s[:0], y[:0]) == 1
+
+
+def test_toxicity_scores_by_a_plain_program():
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & M
+        return x ^ x >> 31
+
+    table = np.random.default_rng(2).normal(0, 3, toxicity.BUCKETS).astype(np.float32)
+    got = toxicity.Model(table, -0.4).scores(TEXTS)
+    for t, score in zip(TEXTS, got, strict=True):
+        words, total = re.findall(r"[^\W_]+", (t or "").lower()), 0.0
+        for word in words:
+            c, found = [ord(x) for x in f"<{word}>"], []
+            for n in (3, 4, 5, 6):
+                for i in range(len(c) - n + 1):
+                    h = 0
+                    for x in c[i : i + n]:
+                        h = (h + x) * 0x9E3779B97F4A7C15 & M
+                    found.append(mix((h + n) & M))
+            found.append(mix(sum(mix((x * 0x100000001 + i) & M) for i, x in enumerate(c)) & M))
+            total += sum(float(table[h % toxicity.BUCKETS]) for h in found) / len(found)
+        assert abs(score - 1 / (1 + math.exp(-(total / (len(words) + toxicity.PAD) - 0.4)))) < 1e-6
+
+
+def test_url_scores_by_a_plain_program_and_on_unseen_urls(spark):
+    m = url_filter.train(spark)
+    urls = [None, "", "x", "http://A.b/c?d", "http://news.example.com/en/12", "é://ß.é/漢", "http://h" + "o" * 300, "a://b"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for x in url_filter.judge(df, *m).collect():
+        found = []
+        for name, value in (("h", f"^{x.host}$"), ("p", f"^{x.path}$")):
+            for n in url_filter.ORDERS:
+                for i in range(len(value) - n + 1):
+                    seed = xxhash.xxh64_intdigest(f"{name}{n}".encode(), 42)
+                    found.append(xxhash.xxh64_intdigest(value[i : i + n].encode(), seed) % url_filter.BUCKETS)
+        s = m[1] + sum(m[0][k] for k in found) / math.sqrt(max(1, len(found)))
+        assert abs(x.score - 1 / (1 + math.exp(-s))) < 1e-6
+    new = {"http://casino-jackpot.example.net/bonus/3": "block", "http://cheap-pills.example.com/sale/7": "block", "http://adult-videos.example.org/live": "block", "http://phish-login.example.com/account": "block", "http://news.example.net/en/77": "allow", "http://www.museum.example.net/season": "allow", "http://library.example.com/lessons/8": "allow", "http://wiki.example.com/page/garden": "allow"}
+    got = {x.url: x.verdict for x in url_filter.judge(spark.createDataFrame([(u,) for u in new], "url string"), *m, rules=[]).collect()}
+    assert sum(got[u] == v for u, v in new.items()) >= 7
+
+
+def test_language_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "the house of the river", "x", "y")], "doc_id long, text string, `a.b` string, `_text` string")
+    m = language_id.Model([], np.zeros((language_id.FEATURES, 0)), np.zeros(0), np.ones(language_id.FEATURES), 1.0)
+    assert [tuple(x) for x in language_id.identify(df, m, ["a.b", "_text"]).collect()] == [("x", "y", "und", 0.0)]

@@ -9,6 +9,23 @@ def test_the_near_duplicate_stage_keeps_one_of_a_crowd(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(near_brute(rows, 5, 0.8).values()))
 
 
+def test_the_last_stages_keep_columns_of_any_name(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a text", 5, 6, "x"), (2, None, 7, 8, "y"), (2, None, 7, 8, "y")], "doc_id long, text string, _crc long, _decoded long, `a.b` string")
+    spark.createDataFrame([(1, "nothing like it at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = corpus_pipeline.benchmark(spark, df, str(tmp_path))
+    assert clean.columns == df.columns and clean.count() == 3
+    out = corpus_pipeline.tokens(spark, clean, "")
+    assert out.columns == ["doc_id", "_crc", "_decoded", "a.b", "n_tokens", "ids", "round_trip"]
+    assert sorted((r.doc_id, r._crc, r._decoded, r["a.b"], r.round_trip) for r in out.collect()) == [(1, 5, 6, "x", True), (2, 7, 8, "y", True), (2, 7, 8, "y", True)]
+
+
+def test_an_empty_table(spark, tmp_path):
+    df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "nothing like it at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_the_pipeline_runs_over_odd_documents(spark, tmp_path):
     rows = [(d, t, "fr" if d % 2 else "en", "src", len(t or "")) for d, t in documents(n=40)]
     rows.append((9000, rows[0][1] + " extra words at the very end of it", "en", "src", 1))

@@ -58,7 +58,15 @@ def test_items_without_an_id_are_cleaned_too(spark):
     bench = spark.createDataFrame([(None, "a sentence of the benchmark"), (2, "another one of its sentences")], "item_id long, text string")
     docs = frame(spark, [(1, "with a sentence of the benchmark in it"), (2, "nothing at all"), (3, "and another one of its sentences")])
     assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [2]
-    assert [(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()] == [(3, 2)]
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()) == [(1, None), (3, 2)]
+
+
+def test_scores_beyond_64_bits_are_the_greatest(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [-1e30, 0.0]), (3, [1.0, 1.0]), (4, [3e6, 3e6]), (100, [3e6, 2.0])]
+    got = {(r.query_id, r.vec_id): r.score for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()}
+    e = {k: [min(max(int(np.floor(1024 * x)), -(2**63)), 2**63 - 1) for x in v] for k, v in rows}
+    clip = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    assert got == {(q, k): clip(sum(a * b for a, b in zip(e[q], e[k], strict=True))) for q in (0, 100) for k in e if k != q}
 
 
 def test_normal_forms_agree():

@@ -43,6 +43,24 @@ def test_the_best_score_by_brute_force():
         assert abs(got - best[-1]) < 1e-6
 
 
+def test_encoding_in_stretches_is_encoding_whole_texts():
+    m, r = model(PATH), random.Random(5)
+    for _ in range(60):
+        text = "".join(r.choice(["the", "er", " ", "  ", "\n", "né", "x", "漢", "ing", "Zu", ".", "12"]) for _ in range(r.randint(1, 40)))
+        assert m.encode(text) == np.array(m.segment("▁" + text.replace(" ", "▁")), np.int32).tobytes()
+
+
+def test_bad_ids_and_a_full_automaton(spark, monkeypatch):
+    m = model(PATH)
+    hello = m.encode("hello there")
+    rows = [(1, hello), (2, hello + np.array([-1, 32_000, 2**31 - 1], np.int32).tobytes()), (3, hello + b"xy"), (4, None), (5, np.array([99_999], np.int32).tobytes())]
+    got = {r.k: r.text for r in decode(spark.createDataFrame(rows, "k int, ids binary"), PATH).collect()}
+    assert got == {1: "hello there", 2: "hello there\ufffd\ufffd\ufffd", 3: "hello there", 4: "", 5: "\ufffd"}
+    monkeypatch.setattr("factloom.llm.sentencepiece_viterbi.LEARNT", 0)
+    new = type(m)(PATH)
+    assert new.encode("unlearnt transitions, anew") == m.encode("unlearnt transitions, anew") and new.learnt == 0
+
+
 def test_output_links_find_every_piece():
     a = Automaton([(p, k, 0.0) for k, p in enumerate(["he", "she", "his", "hers", "e"])])
     found, s = [], 0
