@@ -30,10 +30,10 @@ from factloom.llm.common import map_batches, ragged
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Stretches that a worker keeps, and the longest of them in characters.
-CACHE, CACHED_LENGTH = 400_000, 64
+#: Stretches that a worker keeps until its task ends, and the longest of them in characters.
+CACHE, CACHED_LENGTH = 200_000, 64
 #: Transitions of the automaton that a worker adds to it, so that failure links need not be followed again.
-LEARNT = 1_000_000
+LEARNT = 200_000
 #: Bytes of text that are unpacked at once.
 STEP = 4_000_000
 
@@ -199,6 +199,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids
             for part in _steps(batch, text):
                 coded = _with(part, out, pa.array([m.encode(t) for t in part.column(text).to_pylist()], pa.binary()))
                 yield coded if keep_text else coded.select([x for x in coded.schema.names if x != text])
+        m.cache.clear()  # Spark keeps the worker for other tasks
 
     return map_batches(docs, run, _appended(docs if keep_text else docs.drop(text), out, T.BinaryType()))
 
