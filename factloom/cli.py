@@ -6,10 +6,12 @@ import argparse
 import json
 import sys
 import time
-from itertools import islice
+from contextlib import nullcontext
+from pathlib import Path
 
 from factloom.lang.syntax import QueryError, QuerySyntaxError
 from factloom.schema.fingerprint import canonical, compare, fingerprints, schema_fingerprint
+from factloom.schema.model import Schema
 from factloom.schema.parser import SchemaError, SchemaSyntaxError, parse_schema
 from factloom.session import Session
 
@@ -46,10 +48,14 @@ def show(session: Session, text: str, kind: str, limit: int | None, expand: int
     if kind == "count":
         write(session.count(text))
         return
+    if expand is None and kind in ("jsonl", "raw"):
+        for r in session.objects(text, limit):
+            write(json.dumps(r, ensure_ascii=False) if kind == "jsonl" else raw(r))
+        return
     if expand is not None:
         rows = [json.loads(x) for x in (session.expand(text, expand) if limit is None else session.expand(text, expand).limit(limit)).toJSON().collect()]
     else:
-        rows = list(islice(session.objects(text), limit))
+        rows = list(session.objects(text, limit))
     if kind == "table":
         write(table(rows))
     elif kind == "json":
@@ -149,6 +155,7 @@ def main(args: list[str] | None = None) -> int:
     q.add_argument("--format", choices=FORMATS, default="table")
     q.add_argument("--count", action="store_true")
     q.add_argument("--limit", type=int)
+    q.add_argument("--timeout", type=float, help="seconds")
     q.add_argument("--expand", type=int, nargs="?", const=16)
     q.add_argument("--profile", action="store_true")
     q.add_argument("--plan", action="store_true")
@@ -162,13 +169,23 @@ def main(args: list[str] | None = None) -> int:
     o = parser.parse_args(args)
     try:
         return _schema(o) if o.command == "schema" else _run(o)
-    except (QueryError, QuerySyntaxError, SchemaError, SchemaSyntaxError, ValueError) as e:
+    except (QueryError, QuerySyntaxError, SchemaError, SchemaSyntaxError, ValueError, TimeoutError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
 
 
+def read_schema(path: str) -> Schema:
+    """The schema of a file; a namespace that it imports is the file of that name beside it."""
+
+    def imported(name: str) -> str | None:
+        beside = Path(path).with_name(name + Path(path).suffix)
+        return beside.read_text() if beside.is_file() else None
+
+    return parse_schema(Path(path).read_text(), imported)
+
+
 def _schema(o) -> int:
-    read = lambda path: parse_schema(open(path).read())  # noqa: E731, SIM115
+    read = read_schema
     if o.what == "check":
         print(f"{len(read(o.file).predicates)} predicates")
     elif o.what == "fingerprint":
@@ -196,12 +213,12 @@ def _run(o) -> int:
         catalog = Catalog(spark, o.root)
         session = catalog.session(catalog.find(o.db)) if o.command in ("query", "shell") else None
     if o.command == "create":
-        print(catalog.create(o.name, open(o.schema).read()).meta["instance"])  # noqa: SIM115
+        print(catalog.create(o.name, read_schema(o.schema)).meta["instance"])
     elif o.command == "write":
         got = ingest_json(catalog.find(o.db, writing=True), o.predicate, o.path, o.depth)
         print(f"created {got.created}, deduplicated {got.deduped}")
     elif o.command == "finish":
-        print(catalog.find(o.db).finish(o.allow_empty))
+        print(catalog.find(o.db, sealing=True).finish(o.allow_empty))
     elif o.command == "list":
         print(table([{k: d.meta[k] for k in ("name", "instance", "status", "facts", "created")} for d in catalog.instances()]))
     elif o.command == "describe":
@@ -213,7 +230,8 @@ def _run(o) -> int:
             print(session.plan(o.text).text())
         if o.profile:
             print(table(session.profile(o.text)))
-        show(session, o.text, "count" if o.count else o.format, o.limit, o.expand)
+        with session.limited(o.timeout) if o.timeout else nullcontext():
+            show(session, o.text, "count" if o.count else o.format, o.limit, o.expand)
     else:
         shell = Shell(session, catalog.instances if catalog else None)
         for line in sys.stdin:

@@ -193,12 +193,15 @@ class Builder:
         kinds = dict(df.dtypes)
         df = df.select(*(F.coalesce(_c(c), F.lit("") if kinds[c] == "string" else F.lit(-(2**63)).cast("long")).alias(c) if c in filled else _c(c) for c in df.columns))
         self.order += [f"o{n}", *(name for own in names.values() for name in own)]
-        on = []
-        for at, value in enumerate(outside):
-            where = [k for k, x in enumerate(parts) if at in x[2]]
-            same = value == _c(f"l{n}?{at}")
-            on.append(same if len(where) == len(parts) else same | ~_c(f"o{n}").isin(where))
-        self.join(df, on, "inner")
+        together: dict[tuple, list[int]] = {}  # alternatives by the outer values that they read
+        for k, x in enumerate(parts):
+            together.setdefault(tuple(sorted(x[2])), []).append(k)
+        before, joined = self.rows, []
+        for reads, which in together.items():  # each by its own equalities, which no join over all of them could use
+            self.rows = before
+            self.join(df if len(together) == 1 else df.where(_c(f"o{n}").isin(which)), [outside[at] == _c(f"l{n}?{at}") for at in reads], "inner")
+            joined.append(self.rows)
+        self.rows = reduce(lambda a, b: a.unionByName(b), joined)
         for v in common:
             self.env[v] = Place(_c(f"l{n}_{v}"), parts[0][1][v][1])
         if s.row is not None:

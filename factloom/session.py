@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import base64
 import json
+import threading
+import uuid
 from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -76,10 +79,43 @@ class Session:
         df, t, builder, plan = self._built(text)
         return [render(self._value(r, t, plan, builder.width), t, self.schema) for r in self._sorted(df, builder).toLocalIterator()]
 
-    def objects(self, text: str) -> Iterator:
-        """The ordered rows as JSON values."""
+    def objects(self, text: str, limit: int | None = None) -> Iterator:
+        """The ordered rows as JSON values; with ``limit``, the first ones, of which each task keeps no more."""
         df, t, builder, plan = self._built(text)
-        return (plain(self._value(r, t, plan, builder.width), t) for r in self._sorted(df, builder).toLocalIterator())
+        rows = self._sorted(df, builder)
+        return (plain(self._value(r, t, plan, builder.width), t) for r in (rows.toLocalIterator() if limit is None else rows.limit(limit).collect()))
+
+    @contextmanager
+    def limited(self, seconds: float) -> Iterator[None]:
+        """What this thread asks of Spark within is cancelled after ``seconds``: ``TimeoutError``."""
+        context, tag = self.spark.sparkContext, f"factloom-{uuid.uuid4().hex}"
+        late, done = threading.Event(), threading.Event()
+
+        def watch() -> None:
+            if not done.wait(seconds):
+                late.set()
+                while not done.wait(0.5):  # again and again, as another job may begin meanwhile
+                    self.cancel(tag)
+
+        watcher = threading.Thread(target=watch, daemon=True)
+        context.addJobTag(tag)
+        context.setInterruptOnCancel(True)
+        watcher.start()
+        try:
+            yield
+        except Exception as e:
+            if late.is_set():
+                raise TimeoutError(f"stopped after {seconds:g} s") from e
+            raise
+        finally:
+            done.set()
+            watcher.join()
+            context.removeJobTag(tag)
+            context.setInterruptOnCancel(False)
+
+    def cancel(self, tag: str) -> None:
+        """Stops the jobs of any thread that has added this job tag."""
+        self.spark.sparkContext.cancelJobsWithTag(tag)
 
     def page(self, text: str, limit: int, token: str | None = None) -> Page:
         """At most ``limit`` ordered rows behind those of ``token``, and a token if there are more.
@@ -106,6 +142,8 @@ class Session:
                 same = [F.col(f"`{builder.order[j]}`") == F.lit(at[j]) for j in range(k)]
                 after.append(reduce(lambda a, b: a & b, [*same, F.col(f"`{builder.order[k]}`") > F.lit(at[k])]))
             df = df.where(reduce(lambda a, b: a | b, after) if after else F.lit(False))
+            if at:  # follows from the other, and can be taken by a scan
+                df = df.where(F.col(f"`{builder.order[0]}`") >= F.lit(at[0]))
         rows = self._sorted(df, builder).limit(limit + 1).collect()
         values = [plain(self._value(r, t, plan, builder.width), t) for r in rows[:limit]]
         if len(rows) <= limit:
@@ -148,10 +186,10 @@ class Session:
         return out
 
     def _expanded(self, df: DataFrame, name: str, t: Type, depth: int) -> DataFrame:
-        if isinstance(t, Union) or depth <= 0:
+        if depth <= 0:
             return df
-        if isinstance(t, Record):
-            for n, x in t.fields:
+        if isinstance(t, Record | Union):
+            for n, x in t.fields if isinstance(t, Record) else [(a.name, a.type) for a in t.alternatives]:
                 if _refers(x):
                     df = df.withColumn(f"{name}.{n}", F.col(f"`{name}`").getField(n))
                     df = self._expanded(df, f"{name}.{n}", x, depth)
@@ -168,4 +206,6 @@ class Session:
 
 
 def _refers(t: Type) -> bool:
+    if isinstance(t, Union):
+        return any(_refers(a.type) for a in t.alternatives)
     return isinstance(t, Ref) or isinstance(t, Record) and any(_refers(x) for _, x in t.fields)

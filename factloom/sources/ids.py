@@ -22,5 +22,6 @@ def numbered(df: DataFrame, keys: list[str], start: int, name: str = "seq") -> D
         total += n
     if not first:
         return df.withColumn(name, F.lit(0).cast("long")).limit(0)
-    table = F.create_map(*(x for p, s in first.items() for x in (F.lit(p), F.lit(s).cast("long"))))
-    return marked.withColumn(name, F.element_at(table, F.col("#p")) + F.col("#i")).drop("#p", "#i")
+    table = df.sparkSession.createDataFrame(list(first.items()), "`#q` int, `#first` long")  # a row for each partition
+    placed = marked.join(F.broadcast(table), F.col("#p") == F.col("#q"))
+    return placed.withColumn(name, F.col("#first") + F.col("#i")).drop("#p", "#i", "#q", "#first")

@@ -26,12 +26,14 @@ schema tpch {
   predicate Supplier : { suppkey : int, name : string, nation : Nation } -> int
   predicate Part     : { partkey : int, name : string, brand : string, type : string, size : int } -> int
   predicate Order    : { orderkey : int, customer : Customer, status : string, priority : string, date : int } -> int
+  predicate CustomerName : string
   predicate LineItem : { order : Order, line : int, part : Part, supplier : Supplier, shipdate : int, flag : string, status : string } -> int
 }
 schema feed {
   type What = { user : int = 3 | kind : string = 0 }
   predicate Event : { id : int, user : int, type : string, ts : int } -> string
   predicate Typed : { what : What, id : int }
+  predicate Span  : { at : { user : int, ts : int }, id : int }
 }
 schema corpus {
   predicate Doc   : { id : int, lang : string, source : string, chars : int } -> string
@@ -70,7 +72,7 @@ def bindings(schema: Schema) -> dict[str, Binding]:
     def after(column: str) -> str:
         return f"{long(column)} + 1L"
 
-    purchase = "event_type = 'purchase'"
+    purchase = "event_type <=> 'purchase'"  # never null, so that a test of the tag is this comparison, which scans can take
     what = f"named_struct('disc', if({purchase}, 3, 0), 'user', if({purchase}, {long('user_id')}, null), 'kind', if({purchase}, null, event_type))"
     return {
         "tpch.Region": Binding("region", after("r_regionkey"), {"regionkey": long("r_regionkey"), "name": "r_name"}),
@@ -79,9 +81,11 @@ def bindings(schema: Schema) -> dict[str, Binding]:
         "tpch.Supplier": Binding("supplier", after("s_suppkey"), {"suppkey": long("s_suppkey"), "name": "s_name", "nation": ref("tpch.Nation", "s_nationkey")}, cents("s_acctbal")),
         "tpch.Part": Binding("part", after("p_partkey"), {"partkey": long("p_partkey"), "name": "p_name", "brand": "p_brand", "type": "p_type", "size": long("p_size")}, cents("p_retailprice")),
         "tpch.Order": Binding("orders", after("o_orderkey"), {"orderkey": long("o_orderkey"), "customer": ref("tpch.Customer", "o_custkey"), "status": "o_orderstatus", "priority": "o_orderpriority", "date": micros("o_orderdate")}, cents("o_totalprice")),
+        "tpch.CustomerName": Binding("customer", after("c_custkey"), {"key": "c_name"}),
         "tpch.LineItem": Binding("lineitem", None, {"order": ref("tpch.Order", "l_orderkey"), "line": long("l_linenumber"), "part": ref("tpch.Part", "l_partkey"), "supplier": ref("tpch.Supplier", "l_suppkey"), "shipdate": micros("l_shipdate"), "flag": "l_returnflag", "status": "l_linestatus"}, cents("l_extendedprice")),
         "feed.Event": Binding("events", after("event_id"), {"id": long("event_id"), "user": long("user_id"), "type": "event_type", "ts": micros("ts")}, "props"),
         "feed.Typed": Binding("events", after("event_id"), {"what": what, "id": long("event_id")}),
+        "feed.Span": Binding("events", after("event_id"), {"at": f"named_struct('user', {long('user_id')}, 'ts', {micros('ts')})", "id": long("event_id")}),
         "corpus.Doc": Binding("documents", after("doc_id"), {"id": long("doc_id"), "lang": "lang", "source": "source", "chars": long("n_chars")}, "text"),
         "corpus.Label": Binding("labels", after("doc_id"), {"doc": ref("corpus.Doc", "doc_id"), "quality": long("quality"), "toxic": long("toxic")}),
     }

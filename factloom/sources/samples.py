@@ -16,8 +16,7 @@ SAMPLES: dict[str, tuple[str, str]] = {
     "cmp_same_row": ("{k = K} where tpch.Part {partkey = K, size = S}; K < S", "select p_partkey as k from part where p_partkey<p_size"),
     "cmp_range": ("{k = K} where tpch.Order {orderkey = K, date = D}; D >= 820454400000000; D < 852076800000000", "select o_orderkey as k from orders where o_orderdate>=timestamp '1996-01-01' and o_orderdate<timestamp '1997-01-01'"),
     "join_shared_var": ("{name = N, type = T} where feed.Event {user = U, type = T}; tpch.Customer {custkey = U, name = N}", "select c_name as name, event_type as type from events join customer on user_id=c_custkey"),
-    "join_trailing_field": ("{s = S, c = C} where tpch.Supplier {suppkey = S, nation = N}; tpch.Customer {custkey = C, nation = N}; C < 20", "select s_suppkey as s, c_custkey as c from supplier join customer on s_nationkey=c_nationkey where c_custkey<20"),
-    "join_trailing_field_whole": ("{s = S, c = C} where tpch.Supplier {suppkey = S, nation = N}; tpch.Customer {custkey = C, nation = N}", "select s_suppkey as s, c_custkey as c from supplier join customer on s_nationkey=c_nationkey"),
+    "join_trailing_field": ("{s = S, c = C} where tpch.Supplier {suppkey = S, nation = N}; tpch.Customer {custkey = C, nation = N}", "select s_suppkey as s, c_custkey as c from supplier join customer on s_nationkey=c_nationkey"),
     "ref_follow": ("{nation = N, region = R} where X = tpch.Region {name = R}; tpch.Nation {name = N, region = X}", "select n_name as nation, r_name as region from nation join region on n_regionkey=r_regionkey"),
     "nested_pattern": ("{name = N} where tpch.Nation {name = N, region = tpch.Region {regionkey = 1}}", "select n_name as name from nation join region on n_regionkey=r_regionkey where r_regionkey=1"),
     "nested_twice": ('{k = K} where tpch.Order {orderkey = K, customer = tpch.Customer {segment = "MACHINERY", nation = tpch.Nation {nationkey = 3}}}', "select o_orderkey as k from orders join customer on o_custkey=c_custkey where c_mktsegment='MACHINERY' and c_nationkey=3"),
@@ -43,8 +42,7 @@ SAMPLES: dict[str, tuple[str, str]] = {
     "neg_never": ("{n = N} where tpch.Region {name = N}; !never", "select r_name as n from region"),
     "disjunction": ("{k = K} where tpch.Customer {custkey = K} | tpch.Supplier {suppkey = K}", "select c_custkey as k from customer union all select s_suppkey from supplier"),
     "disj_two_filters": ('{k = K} where tpch.Part {partkey = K, size = 11} | tpch.Part {partkey = K, brand = "Brand#2"}', "select p_partkey as k from part where p_size=11 union all select p_partkey from part where p_brand='Brand#2'"),
-    "disj_joined": ("{n = N, k = K} where tpch.Nation {nationkey = N}; X = tpch.Nation {nationkey = N}; tpch.Customer {custkey = K, nation = X} | tpch.Supplier {suppkey = K, nation = X}; K < 40", "select n_nationkey::bigint as n, c_custkey as k from nation join customer on c_nationkey=n_nationkey where c_custkey<40 union all select n_nationkey::bigint, s_suppkey from nation join supplier on s_nationkey=n_nationkey where s_suppkey<40"),
-    "disj_joined_whole": ("{n = N, k = K} where tpch.Nation {nationkey = N}; X = tpch.Nation {nationkey = N}; tpch.Customer {custkey = K, nation = X} | tpch.Supplier {suppkey = K, nation = X}", "select n_nationkey::bigint as n, c_custkey as k from nation join customer on c_nationkey=n_nationkey union all select n_nationkey::bigint, s_suppkey from nation join supplier on s_nationkey=n_nationkey"),
+    "disj_joined": ("{n = N, k = K} where tpch.Nation {nationkey = N}; X = tpch.Nation {nationkey = N}; tpch.Customer {custkey = K, nation = X} | tpch.Supplier {suppkey = K, nation = X}", "select n_nationkey::bigint as n, c_custkey as k from nation join customer on c_nationkey=n_nationkey union all select n_nationkey::bigint, s_suppkey from nation join supplier on s_nationkey=n_nationkey"),
     "disj_never": ("{k = K} where tpch.Supplier {suppkey = K} | never", "select s_suppkey as k from supplier"),
     "row_bind_disj": ("{k = P.partkey} where P = tpch.Part {size = 5} | tpch.Part {size = 7}", "select p_partkey as k from part where p_size in (5,7)"),
     "unit": ('{a = X, b = "k"} where X = 42', "select 42::bigint as a, 'k' as b"),
@@ -57,11 +55,43 @@ SAMPLES: dict[str, tuple[str, str]] = {
     "subquery": ('{n = X} where X = (Y where tpch.Nation {name = Y}; Y != "NATION_1"..)', "select n_name as n from nation where not starts_with(n_name,'NATION_1')"),
     "subquery_correlated": ("{k = K, n = X} where tpch.Supplier {suppkey = K, nation = N}; X = (Y where tpch.Nation {name = Y, nationkey = Z}; N = tpch.Nation {nationkey = Z})", "select s_suppkey as k, n_name as n from supplier join nation on s_nationkey=n_nationkey"),
     "whole_key": ("K where tpch.Region K", "select r_regionkey::bigint as regionkey, r_name as name from region"),
-    "head_fact_pattern": ("{a = R.regionkey} where tpch.Nation _; R = tpch.Region {regionkey = 1}", "select r_regionkey::bigint as a from nation, region where r_regionkey=1"),
     "union_injection": ("{i = I, u = U} where feed.Typed {what = {user = U}, id = I}", "select event_id as i, user_id as u from events where event_type='purchase'"),
     "union_tag": ("{i = I} where feed.Typed {what = {kind = _}, id = I}", "select event_id as i from events where event_type<>'purchase'"),
     "union_constant": ('{i = I} where feed.Typed {what = {kind = "click"}, id = I}', "select event_id as i from events where event_type='click'"),
     "union_select": ("{t = T} where feed.Typed X; T = X.what.kind?", "select event_type as t from events where event_type<>'purchase'"),
     "wide_row": ("{d = L.shipdate, f = L.flag, l = L.line, s = L.status} where L = tpch.LineItem _", "select epoch_us(l_shipdate) as d, l_returnflag as f, l_linenumber::bigint as l, l_linestatus as s from lineitem"),
     "join_leading_ref": ("{k = K, l = N} where O = tpch.Order {orderkey = K}; tpch.LineItem {order = O, line = N}", "select o_orderkey as k, l_linenumber::bigint as l from orders join lineitem on l_orderkey=o_orderkey"),
+    "head_fact_pattern": ("tpch.Region {regionkey = 1} where tpch.Nation _", "select (r_regionkey::bigint + 1) as value from nation, region where r_regionkey=1"),
+    "head_nested_record": ("{a = {k = K, n = N}, b = 1} where tpch.Nation {nationkey = K, name = N}", "select {'k': n_nationkey::bigint, 'n': n_name} as a, 1::bigint as b from nation"),
+    "head_scalar": ("N where tpch.Nation {name = N}", "select n_name as value from nation"),
+    "head_reference": ("X where tpch.Nation {region = X}", "select n_regionkey::bigint + 1 as value from nation"),
+    "whole_key_join": ("{k = C.custkey} where C = tpch.Customer _; tpch.CustomerName (C.name);", "select a.c_custkey as k from customer a join customer b on a.c_name=b.c_name"),
+    "whole_key_prefix": ('N where tpch.CustomerName N; N = "Customer#00000001"..', "select c_name as value from customer where starts_with(c_name,'Customer#00000001')"),
+    "whole_key_range": ('N where tpch.CustomerName N; N > "Customer#000000100"', "select c_name as value from customer where c_name>'Customer#000000100'"),
+    "nested_partial": ("{i = I, u = U} where feed.Span {at = {user = U}, id = I}", "select event_id as i, user_id as u from events"),
+    "nested_constant": ("{i = I, t = T} where feed.Span {at = {user = 7, ts = T}, id = I}", "select event_id as i, epoch_us(ts) as t from events where user_id=7"),
+    "nested_access": ("{i = S.id, u = S.at.user} where S = feed.Span _; U = S.at.user; U < 20", "select event_id as i, user_id as u from events where user_id<20"),
+    "nested_join": ("{i = I, n = N} where feed.Span {at = {user = U}, id = I}; tpch.Customer {custkey = U, name = N}", "select event_id as i, c_name as n from events join customer on user_id=c_custkey"),
+    "constant_fits_constraint": ('{a = X} where X = "abc"; X = "a"..', "select 'abc' as a"),
+    "constant_fails_constraint": ('{a = X} where X = "abc"; X = "z"..', "select '' as a where false"),
+    "constant_passes_denial": ('{a = X} where X = "abc"; X != "z"..', "select 'abc' as a"),
+    "denials_in_conjunction": ('{n = N} where tpch.Part {name = N}; N != "red"..; N != "blue"..', "select p_name as n from part where not starts_with(p_name,'red') and not starts_with(p_name,'blue')"),
+    "constraint_and_denial": ('{n = N} where tpch.Part {name = N}; N = "b"..; N != "blue 1"..', "select p_name as n from part where starts_with(p_name,'b') and not starts_with(p_name,'blue 1')"),
+    "computed_against_constant": ("{k = K} where tpch.Region {regionkey = K}; Y = 1 + 1; Y < 5", "select r_regionkey::bigint as k from region"),
+    "sum_wraps": ("{i = I, y = Y} where feed.Event {id = I}; Y = I + 9223372036854775807", "select event_id as i, case when event_id>0 then event_id-1+(-9223372036854775807-1) else 9223372036854775807 end as y from events"),
+    "difference_wraps": ("{i = I, y = Y} where feed.Event {id = I}; Y = -9223372036854775808 - I", "select event_id as i, case when event_id>0 then 9223372036854775807-(event_id-1) else -9223372036854775807-1 end as y from events"),
+    "int_underscores": ("{k = K} where tpch.Order {orderkey = K}; K > 1_000", "select o_orderkey as k from orders where o_orderkey>1000"),
+    "string_escapes": (r'{n = N} where tpch.Part {name = N}; N = "\u0072e\u0064"..', "select p_name as n from part where starts_with(p_name,'red')"),
+    "subquery_nested": ("{n = X} where X = (Y where Y = (Z where tpch.Nation {name = Z}))", "select n_name as n from nation"),
+    "subquery_of_a_sum": ("{n = X} where X = (Y where tpch.Nation {nationkey = C}; Y = C + 1)", "select n_nationkey::bigint + 1 as n from nation"),
+    "order_of_statements": ('{n = N} where N = "red"..; tpch.Part {name = N}', "select p_name as n from part where starts_with(p_name,'red')"),
+    "record_constant": ("{x = A.x, y = A.y} where A = {x = 2, y = 3}", "select 2::bigint as x, 3::bigint as y"),
+    "record_constant_join": ("{n = N} where A = {k = 3}; tpch.Nation {nationkey = A.k, name = N}", "select n_name as n from nation where n_nationkey=3"),
+    "destructure_field": ("{i = I, u = U} where S = feed.Span _; I = S.id; {user = U, ts = _} = S.at", "select event_id as i, user_id as u from events"),
+    "disj_of_outer_values": ("{n = N} where tpch.Part {partkey = A, size = B}; tpch.Customer {custkey = A, name = N} | tpch.Supplier {suppkey = B, name = N}", "select c_name as n from part join customer on c_custkey=p_partkey union all select s_name from part join supplier on s_suppkey=p_size"),
+    "negation_of_a_key": ("{k = K} where tpch.Customer {custkey = K}; !tpch.Supplier {suppkey = K}", "select c_custkey as k from customer where not exists (select 1 from supplier where s_suppkey=c_custkey)"),
+    "union_in_both": ('{i = I, j = J} where feed.Typed {what = {user = U}, id = I}; feed.Span {at = {user = U}, id = J}; I < J', "select a.event_id as i, b.event_id as j from events a join events b on a.user_id=b.user_id where a.event_type='purchase' and a.event_id<b.event_id"),
+    "union_select_in_head": ("X.what.user? where feed.Typed X", "select user_id as value from events where event_type='purchase'"),
+    "value_of_text": ("{i = D.id, n = D.chars} where D = corpus.Doc {lang = \"fr\"}", "select doc_id as i, n_chars::bigint as n from documents where lang='fr'"),
+    "label_of_doc": ("{i = L.doc.id, l = L.doc.lang} where L = corpus.Label {toxic = 1}", "select d.doc_id as i, lang as l from labels l join documents d on l.doc_id=d.doc_id where toxic=1"),
 }

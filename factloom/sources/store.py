@@ -1,6 +1,10 @@
 """Databases of facts: folders of Parquet with a sidecar, created against a schema, written in batches, then sealed.
 
-    <root>/<name>/<instance>/   schema.txt, meta.json, facts/<predicate>/batch=<n>/*.parquet
+    <root>/<name>/<instance>/   schema.txt, meta.json, facts/<predicate>/<folder>/*.parquet
+
+The sidecar (``meta.json``) lists the folders that are the database; it is replaced in one step behind all other work of
+a write or a ``finish``, and what it doesn't list is never read, so a writer that dies at any point leaves the database as
+it was. One process at a time writes to a database or finishes it; others wait.
 
 A fact's key is its identity. ``write`` interns batches of facts: nested facts are resolved to ids, bottom-up; a fact that
 is stored already is deduplicated; the same key with another value is a conflict, whatever the order, and nothing of the
@@ -33,13 +37,13 @@ from factloom.schema.parser import parse_schema, schema_text
 from factloom.session import Session
 from factloom.sources.ids import numbered
 
-FORMAT = {"storage": 1, "ids": 1}
+FORMAT = {"storage": 2, "ids": 1}
 WRITABLE, COMPLETE, BROKEN = "writable", "complete", "broken"
 DEPTH = 64
 
 
 class StoreError(ValueError):
-    """``code``: not-found, ambiguous, not-writable, broken, format, empty, conflict, bad-reference, bad-value, exists, claim."""
+    """``code``: not-found, ambiguous, not-writable, broken, format, empty, conflict, bad-reference, bad-value, exists, claim, selector."""
 
     def __init__(self, code: str, detail: str = ""):
         super().__init__(f"{code}: {detail}" if detail else code)
@@ -75,7 +79,7 @@ class Catalog:
             (folder / "facts").mkdir(parents=True)
             (folder / "schema.txt").write_text(schema_text(schema))
             db = Database(self.spark, folder, schema)
-            db.save({"name": name, "instance": instance, "status": WRITABLE, "format": FORMAT, "created": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "facts": -1, "batches": 0, "next": {}, "hits": 0, "misses": 0})
+            db.save({"name": name, "instance": instance, "status": WRITABLE, "format": FORMAT, "created": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "facts": -1, "batches": 0, "parts": {}, "next": {}, "hits": 0, "misses": 0})
         return db
 
     def instances(self) -> list[Database]:
@@ -84,14 +88,22 @@ class Catalog:
             out.append(Database(self.spark, meta.parent, parse_schema((meta.parent / "schema.txt").read_text())))
         return out
 
-    def find(self, selector: str, writing: bool = False) -> Database:
-        """``name`` or ``name@start-of-instance``. Reading takes the newest complete one, else the newest; writing the only writable one."""
-        name, _, start = selector.partition("@")
-        found = [d for d in self.instances() if d.meta["name"] == name and d.meta["instance"].startswith(start)]
-        if writing:
-            found = [d for d in found if d.meta["status"] == WRITABLE]
-            if len(found) > 1:
+    def selected(self, selector: str) -> list[Database]:
+        """The instances that ``name`` or ``name@start-of-instance`` names."""
+        name, at, start = selector.partition("@")
+        if not name or (at and not start) or "@" in start:
+            raise StoreError("selector", selector)
+        return [d for d in self.instances() if d.meta["name"] == name and d.meta["instance"].startswith(start)]
+
+    def find(self, selector: str, writing: bool = False, sealing: bool = False) -> Database:
+        """The instance to read: the newest complete one, else the newest; to write: the only writable one; to seal: that,
+        or if none is writable, the one to read, as sealing again does nothing."""
+        found = self.selected(selector)
+        if writing or sealing:
+            open_ = [d for d in found if d.meta["status"] == WRITABLE]
+            if len(open_) > 1:
                 raise StoreError("ambiguous", selector)
+            found = open_ if open_ or writing else found
         if not found:
             raise StoreError("not-found", selector)
         best = max(found, key=lambda d: (d.meta["status"] == COMPLETE, d.meta["status"] == WRITABLE, d.meta["instance"]))
@@ -99,8 +111,7 @@ class Catalog:
         return best
 
     def remove(self, selector: str) -> None:
-        name, _, start = selector.partition("@")
-        found = [d for d in self.instances() if d.meta["name"] == name and d.meta["instance"].startswith(start)]
+        found = self.selected(selector)
         if len(found) != 1:
             raise StoreError("ambiguous" if found else "not-found", selector)
         with self.locked():
@@ -126,7 +137,7 @@ class Catalog:
         """A session over ``db`` in which the virtual predicates can be asked too; they are read only if a query names them."""
         schema = Schema(dict(db.schema.predicates) | {n: Predicate(p.name, p.number, p.key, p.value) for n, p in VIRTUAL.predicates.items()})
         virtual = {"system.db.List": self.listing, "system.db.Interning": self.interning}
-        return Session(self.spark, schema, lambda n: virtual[n]() if n in virtual else db.facts(n), db.identity())
+        return Session(self.spark, schema, lambda n: virtual[n]() if n in virtual else db.facts(n), db.identity(), strict=True)
 
 
 def _virtual() -> Schema:
@@ -221,23 +232,45 @@ class Database:
         return self.folder / "facts" / predicate
 
     def facts(self, predicate: str) -> DataFrame:
-        kind, path = spark_schema(self.schema.get(predicate)), self.path(predicate)
-        if not path.exists() or not any(path.rglob("*.parquet")):
+        kind, parts = spark_schema(self.schema.get(predicate)), self.meta["parts"].get(predicate, [])
+        if not parts:
             return self.spark.createDataFrame([], kind)
-        return self.spark.read.schema(kind).option("recursiveFileLookup", "true").parquet(str(path))
+        if missing := [x for x in parts if not (self.folder / x).is_dir()]:
+            raise StoreError("broken", ", ".join(missing))
+        return self.spark.read.schema(kind).parquet(*(str(self.folder / x) for x in parts))
 
     def session(self, claims: Schema | None = None) -> Session:
         self.check(claims=claims)
-        return Session(self.spark, self.schema, self.facts, self.identity())
+        return Session(self.spark, self.schema, self.facts, self.identity(), strict=True)
 
     # ---- writing
 
+    @contextmanager
+    def locked(self) -> Iterator[None]:
+        """One process at a time changes the database."""
+        with open(self.folder / ".lock", "w") as f:
+            fcntl.flock(f, fcntl.LOCK_EX)
+            yield
+
+    def sweep(self) -> None:
+        """Deletes what a writer that died has left, and what a sealed database no longer needs."""
+        kept = {x for parts in self.meta["parts"].values() for x in parts}
+        shutil.rmtree(self.folder / "staging", ignore_errors=True)
+        for part in self.folder.glob("facts/*/*"):
+            if str(part.relative_to(self.folder)) not in kept:
+                shutil.rmtree(part, ignore_errors=True)
+
     def write(self, batch: dict[str, DataFrame]) -> Written:
         """Interns facts: each DataFrame has ``key`` and, if declared, ``value``; a reference in them is an id or a whole fact.
 
         Facts nested in others are interned first, by their depth in the types given. The batch is one commit.
         """
+        with self.locked():
+            return self._write(batch)
+
+    def _write(self, batch: dict[str, DataFrame]) -> Written:
         self.check(writing=True)
+        self.sweep()
         meta = self.meta
         out, staged = Written(), {}
         order = self._depths(batch)
@@ -253,13 +286,14 @@ class Database:
             out.created += created
             out.deduped += deduped
             out.by_predicate[name] = out.by_predicate.get(name, 0) + created + deduped
-        number = meta["batches"]
+        listed = {n: list(parts) for n, parts in meta["parts"].items()}
         for name, parts in staged.items():
-            for k, df in enumerate(parts):
-                target = self.path(name) / f"batch={number}.{k}"
+            for df in parts:
+                target = self.path(name) / uuid.uuid4().hex
                 target.parent.mkdir(parents=True, exist_ok=True)
                 os.replace(df, target)
-        self.save(meta | {"batches": number + 1, "hits": meta["hits"] + out.deduped, "misses": meta["misses"] + out.created})
+                listed.setdefault(name, []).append(str(target.relative_to(self.folder)))
+        self.save(meta | {"batches": meta["batches"] + 1, "parts": listed, "hits": meta["hits"] + out.deduped, "misses": meta["misses"] + out.created})
         return out
 
     @staticmethod
@@ -398,31 +432,36 @@ class Database:
     # ---- sealing
 
     def finish(self, allow_empty: bool = False) -> str:
-        """Compacts, hashes and seals; again on a sealed database, does nothing. The content's hash."""
+        """Compacts, hashes and seals; again on a sealed database, does nothing. The content's hash.
+
+        The compacted facts are written beside the others; the sidecar then lists them instead, and the others go last.
+        """
+        with self.locked():
+            return self._finish(allow_empty)
+
+    def _finish(self, allow_empty: bool) -> str:
         self.check()
+        self.sweep()
         meta = self.meta
         if meta["status"] == COMPLETE:
             return meta["content"]
-        total, content = 0, 0
-        used = [n for n in self.schema.predicates if self.path(n).exists()]
+        total, content, parts = 0, 0, {}
+        used = [n for n in self.schema.predicates if meta["parts"].get(n)]
         if not used and not allow_empty:
             raise StoreError("empty")
-        sealed = self.folder / "sealed"
-        shutil.rmtree(sealed, ignore_errors=True)
         for name in used:
+            sealed = self.path(name) / f"sealed-{uuid.uuid4().hex}"
+            parts[name] = [str(sealed.relative_to(self.folder))]
             p = self.schema.get(name)
             df = self.facts(name)
             keys = [n for n, _ in p.fields]
-            df.repartitionByRange(*(F.col(f"`{k}`") for k in keys)).sortWithinPartitions(*(F.col(f"`{k}`") for k in keys)).write.parquet(str(sealed / name))
+            df.repartitionByRange(*(F.col(f"`{k}`") for k in keys)).sortWithinPartitions(*(F.col(f"`{k}`") for k in keys)).write.parquet(str(sealed))
             own = self.logical(name).agg(F.count("*").alias("n"), F.sum(F.xxhash64(F.lit(name), "key", "value").cast("decimal(38,0)")).alias("h")).first()
             total += own.n
             content = (content + int(own.h or 0)) % (1 << 64)
         content = f"{schema_fingerprint(self.schema):016x}{content:016x}"
-        if sealed.exists():
-            shutil.rmtree(self.folder / "facts")
-            os.replace(sealed, self.folder / "facts")
-        shutil.rmtree(self.folder / "staging", ignore_errors=True)
-        self.save(meta | {"status": COMPLETE, "facts": total, "content": content})
+        self.save(meta | {"status": COMPLETE, "facts": total, "content": content, "parts": parts})
+        self.sweep()
         return content
 
     def logical(self, name: str, depth: int = 16) -> DataFrame:

@@ -12,7 +12,7 @@ def test_joins_of_whole_tables(spark):
     customers, suppliers = read("customer", "c_custkey", "c_nationkey"), read("supplier", "s_suppkey", "s_nationkey")
     nations = {n for (n,) in read("nation", "n_nationkey")}
     queries = __spark_entry__.queries()
-    got = Counter((r.s, r.c) for r in queries["join_trailing_field_whole"](spark, DATA).collect())
+    got = Counter((r.s, r.c) for r in queries["join_trailing_field"](spark, DATA).collect())
     assert got == Counter((s, c) for s, m in suppliers for c, n in customers if m == n) and max(c for _, c in got) >= 20
-    got = Counter((r.n, r.k) for r in queries["disj_joined_whole"](spark, DATA).collect())
+    got = Counter((r.n, r.k) for r in queries["disj_joined"](spark, DATA).collect())
     assert got == Counter((n, k) for k, n in customers + suppliers if n in nations) and max(k for _, k in got) >= 40

@@ -6,6 +6,7 @@ import pytest
 from factloom.cli import Shell, main
 from factloom.session import Session, TokenError
 from factloom.sources.files import read_facts
+from factloom.sources import parquet
 from factloom.sources.store import Catalog
 from factloom.streaming.ingest import ingest
 from tests.corpus import CORPUS
@@ -66,3 +67,22 @@ def test_a_stream_of_fact_files(spark, tmp_path):
         (tmp_path / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, part)))
         ingest(read_facts(spark, db.schema, "s.D", str(tmp_path / "in"), 1, streaming=True), db, "s.D", str(tmp_path / "state"), available_now=True).awaitTermination()
     assert db.session().rendered("N where s.D {n = N}") == ["1", "2"]
+
+
+def test_a_query_is_stopped_after_its_time(spark):
+    session = Session(spark, SCHEMA, tables(spark))
+    with pytest.raises(TimeoutError), session.limited(1.0):
+        spark.range(10**13).selectExpr("max(id * 7 % 11) as m").collect()
+    with session.limited(60):
+        assert session.count("X where test.Edge {from = X}") == 3
+
+
+def test_limits_and_the_next_page_reach_the_plan(spark):
+    session = parquet.session(spark, "/root/testdata/sf0.001")
+    assert [r["k"] for r in session.objects("{k = K} where tpch.Customer {custkey = K}", 3)] == [0, 1, 2]
+    plan = session.query("{i = I} where feed.Typed {what = {kind = _}, id = I}")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Not(EqualNullSafe(event_type,purchase))]" in plan
+    plan = session.query("{i = I, u = U} where feed.Typed {what = {user = U}, id = I}")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualNullSafe(event_type,purchase)" in plan.split("PushedFilters:")[1]
+    plan = session.query("{n = N} where tpch.Part {partkey = A, size = B}; tpch.Customer {custkey = A, name = N} | tpch.Supplier {suppkey = B, name = N}")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
