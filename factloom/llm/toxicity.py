@@ -9,6 +9,10 @@ either label); the bias is then set for the labels' true shares. A misspelling s
 Averages and softmax are linear up to the last step, so a trained model is one number per subword; a worker adds them
 up once for each distinct word of a batch.
 
+A subword that fewer than ``MIN_TEXTS`` texts of the sample hold keeps the zero vector, so a word that the sample has
+seldom speaks through the n-grams that it shares with others only; with a label table of a few dozen toxic texts, only
+n-grams that recur in as many of them count.
+
 Cases: a text that is null, empty or without a word gets the score of the bias alone; whole texts are read, however
 long; each row is judged by itself. Without labelled training documents every score is 0. A document with several labels
 counts as toxic if one says so; labels without a document, and null labels, do nothing.
