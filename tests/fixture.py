@@ -3,6 +3,7 @@
 from factloom.schema.model import fact_id, spark_schema
 from factloom.schema.parser import parse_schema
 
+# The schema and facts that the acceptance table is about.
 SCHEMA = parse_schema("""
 schema test {
   type What = { num : int = 3 | text : string = 0 }
