@@ -190,18 +190,27 @@ def _appended(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*(f for f in df.schema if f.name != name), T.StructField(name, kind)])
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids", keep_text: bool = True) -> DataFrame:
-    """``docs`` (without ``text`` if so asked) with a column ``out``: the text's ids as little-endian 32-bit integers."""
+def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids", keep_text: bool = True, checked: str | None = None) -> DataFrame:
+    """``docs`` (without ``text`` if so asked) with a column ``out``: the text's ids as little-endian 32-bit integers; and
+    a column ``checked`` if named: whether the ids, decoded, are the text. One worker does both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
         for batch in batches:
             for part in _steps(batch, text):
-                coded = _with(part, out, pa.array([m.encode(t) for t in part.column(text).to_pylist()], pa.binary()))
+                texts = part.column(text).to_pylist()
+                ids = [m.encode(t) for t in texts]
+                coded = _with(part, out, pa.array(ids, pa.binary()))
+                if checked is not None:
+                    back = m.decode(np.frombuffer(b"".join(ids), np.int32), np.array([len(x) // 4 for x in ids], np.int64))
+                    coded = _with(coded, checked, pa.array([(t or "").encode() == b for t, b in zip(texts, back, strict=True)], pa.bool_()))
                 yield coded if keep_text else coded.select([x for x in coded.schema.names if x != text])
         m.cache.clear()  # Spark keeps the worker for other tasks
 
-    return map_batches(docs, run, _appended(docs if keep_text else docs.drop(text), out, T.BinaryType()))
+    schema = _appended(docs if keep_text else docs.drop(text), out, T.BinaryType())
+    if checked is not None:
+        schema = T.StructType([*(f for f in schema if f.name != checked), T.StructField(checked, T.BooleanType())])
+    return map_batches(docs, run, schema)
 
 
 def decode(encoded: DataFrame, model_path: str, ids: str = "ids", out: str = "text") -> DataFrame:
