@@ -35,12 +35,9 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' columns but the text, its ids (little-endian 32-bit), their number, and whether they decode to it."""
     path = public_tokenizers.path(PIECES)
-    text = F.coalesce(F.col("text"), F.lit(""))
     kept = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "round_trip")]
-    crc, decoded = (name + "_" * max(map(len, docs.columns)) for name in ("crc", "decoded"))  # unlike any column
-    coded = sentencepiece_viterbi.encode(docs.select(*(F.col(f"`{c}`") for c in kept), "text", F.crc32(text).alias(crc)), path, keep_text=False)
-    back = sentencepiece_viterbi.decode(coded, path, out=decoded)
-    return back.select(*(F.col(f"`{c}`") for c in kept), (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.crc32(decoded) == F.col(crc)).alias("round_trip"))
+    coded = sentencepiece_viterbi.encode(docs.select(*(F.col(f"`{c}`") for c in kept), "text"), path, keep_text=False, checked="round_trip")
+    return coded.select(*(F.col(f"`{c}`") for c in kept), (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [("language_id", language), ("line_dedup", lines), ("near_dedup", near_duplicates), ("decontamination", benchmark), ("sentencepiece", tokens)]
