@@ -10,11 +10,13 @@ from contextlib import nullcontext
 from pathlib import Path
 
 from factloom.lang.syntax import QueryError, QuerySyntaxError
+from factloom.plans.views import view
 from factloom.schema.fingerprint import canonical, compare, fingerprints, schema_fingerprint
 from factloom.schema.model import Schema
 from factloom.schema.parser import SchemaError, SchemaSyntaxError, parse_schema
 from factloom.session import Session
 
+VIEWS = ("tokens", "tree", "plan", "trace")
 FORMATS = ("table", "json", "jsonl", "raw", "count")
 
 
@@ -65,15 +67,15 @@ def show(session: Session, text: str, kind: str, limit: int | None, expand: int
             write(json.dumps(r, ensure_ascii=False) if kind == "jsonl" else raw(r))
 
 
-HELP = ":type Q, :plan Q, :facts, :schema, :limit N, :format F, :expand N, :timing, :profile Q, :more, :list, :help, :quit"
+HELP = ":type Q, :plan Q, :facts, :schema, :limit N, :format F, :expand N, :timing, :profile Q, :more, :clear, :timeout N, :view WHAT Q, :list, :interning, :connect DB, :help, :quit"
 
 
 class Shell:
     """Lines are queries, or commands after a colon."""
 
-    def __init__(self, session: Session, listing=None, out=None):
-        self.session, self.listing, self.out = session, listing, out or sys.stdout
-        self.limit, self.format, self.expand, self.timing = 20, "table", None, False
+    def __init__(self, session: Session, listing=None, out=None, connect=None):
+        self.session, self.listing, self.out, self.connect = session, listing, out or sys.stdout, connect
+        self.limit, self.format, self.expand, self.timing, self.timeout = 20, "table", None, False, None
         self.last: tuple[str, str | None] | None = None
 
     def write(self, text) -> None:
@@ -87,13 +89,14 @@ class Shell:
         began = time.time()
         try:
             if not text.startswith(":"):
-                self.run(text)
+                with self.session.limited(self.timeout) if self.timeout else nullcontext():
+                    self.run(text)
             else:
                 name, _, rest = text[1:].partition(" ")
                 if name == "quit":
                     return False
                 self.command(name, rest.strip())
-        except (QueryError, QuerySyntaxError, ValueError) as e:
+        except (QueryError, QuerySyntaxError, ValueError, TimeoutError) as e:
             self.write(f"error: {e}")
         if self.timing:
             self.write(f"({time.time() - began:.2f} s)")
@@ -131,8 +134,19 @@ class Shell:
             self.write(table(s.profile(rest)))
         elif name == "more" and self.last and self.last[1]:
             self.run(*self.last)
+        elif name == "clear":
+            self.last = None
+        elif name == "timeout":
+            self.timeout = float(rest) if rest else None
+        elif name == "view" and rest.partition(" ")[0] in VIEWS:
+            what, _, text = rest.partition(" ")
+            self.write(json.dumps(view(s, what, text), ensure_ascii=False))
         elif name == "list" and self.listing:
-            self.write(table([d.meta for d in self.listing()]))
+            self.write(table([{k: d.meta[k] for k in ("name", "instance", "status", "facts", "created")} for d in self.listing()]))
+        elif name == "interning" and self.listing:
+            self.write(table([{k: d.meta[k] for k in ("name", "instance", "hits", "misses")} for d in self.listing()]))
+        elif name == "connect" and self.connect:
+            self.session, self.last = self.connect(rest), None
         else:
             self.write(HELP)
 
@@ -159,6 +173,7 @@ def main(args: list[str] | None = None) -> int:
     q.add_argument("--expand", type=int, nargs="?", const=16)
     q.add_argument("--profile", action="store_true")
     q.add_argument("--plan", action="store_true")
+    q.add_argument("--view", choices=VIEWS, help="print a JSON view instead of rows")
     s = commands.add_parser("schema").add_subparsers(dest="what", required=True)
     for name, *extra in (("check", "file"), ("fingerprint", "file"), ("diff", "old", "new")):
         c = s.add_parser(name)
@@ -207,11 +222,12 @@ def _run(o) -> int:
     from factloom.sources.store import Catalog
 
     spark = spark_session()
-    if o.command in ("query", "shell") and o.db.startswith("parquet:"):
-        catalog, session = None, parquet.session(spark, o.db.split(":", 1)[1])
-    else:
-        catalog = Catalog(spark, o.root)
-        session = catalog.session(catalog.find(o.db)) if o.command in ("query", "shell") else None
+    catalog = None if o.command in ("query", "shell") and o.db.startswith("parquet:") else Catalog(spark, o.root)
+
+    def connect(db: str) -> Session:
+        return parquet.session(spark, db.split(":", 1)[1]) if db.startswith("parquet:") else (c := catalog or Catalog(spark, o.root)).session(c.find(db))
+
+    session = connect(o.db) if o.command in ("query", "shell") else None
     if o.command == "create":
         print(catalog.create(o.name, read_schema(o.schema)).meta["instance"])
     elif o.command == "write":
@@ -225,6 +241,8 @@ def _run(o) -> int:
         print(json.dumps(catalog.find(o.db).describe(), indent=1))
     elif o.command == "rm":
         catalog.remove(o.db)
+    elif o.command == "query" and o.view:
+        print(json.dumps(view(session, o.view, o.text), ensure_ascii=False, indent=1))
     elif o.command == "query":
         if o.plan:
             print(session.plan(o.text).text())
@@ -233,7 +251,7 @@ def _run(o) -> int:
         with session.limited(o.timeout) if o.timeout else nullcontext():
             show(session, o.text, "count" if o.count else o.format, o.limit, o.expand)
     else:
-        shell = Shell(session, catalog.instances if catalog else None)
+        shell = Shell(session, catalog.instances if catalog else None, connect=connect)
         for line in sys.stdin:
             if not shell.line(line):
                 break

@@ -4,6 +4,7 @@ import json
 import pytest
 
 from factloom.cli import Shell, main
+from factloom.plans.views import view
 from factloom.session import Session, TokenError
 from factloom.sources.files import read_facts
 from factloom.sources import parquet
@@ -48,8 +49,14 @@ def test_shell_and_commands(session, tmp_path, capsys):
     shell = Shell(session, out=out)
     for line in (":limit 2", "X where test.Foo {name = X}", ":more", ":format jsonl", "{a = X} where test.Bar {id = X}", ":plan X where test.Bar {id = X}", ":type X where test.Bar {id = X}", "X where", ":facts", ":nonsense"):
         assert shell.line(line)
+    shell.connect = lambda name: session
+    shell.listing = list
+    for line in (":clear", ":more", ":connect other", ":interning", ":list", ":view tokens X where X = 1", ":timeout 60", "X where test.Bar {id = X}"):
+        assert shell.line(line)
+    assert shell.timeout == 60 and shell.last[1] is None
     assert not shell.line(":quit")
     text = out.getvalue()
+    assert text.count("(no rows)") == 2 and '{"kind": "where", "text": "where"}' in text
     assert "... :more" in text and '{"a": 1}' in text and "level test.Bar {id = X}" in text and "error:" in text and "test.Foo: 3" in text
     a, b = tmp_path / "a", tmp_path / "b"
     a.write_text("schema s { predicate P : string }")
@@ -86,3 +93,14 @@ def test_limits_and_the_next_page_reach_the_plan(spark):
     assert "EqualNullSafe(event_type,purchase)" in plan.split("PushedFilters:")[1]
     plan = session.query("{n = N} where tpch.Part {partkey = A, size = B}; tpch.Customer {custkey = A, name = N} | tpch.Supplier {suppkey = B, name = N}")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_views(session):
+    text = '{a = X, b = Y} where test.Edge {from = X, to = Z}; Y = Z + 1; !test.Bar {id = Z}; X < 3; K = 7'
+    assert view(session, "tokens", 'X where test.Foo {id = X}')[:3] == [{"kind": "uid", "text": "X"}, {"kind": "where", "text": "where"}, {"kind": "qid", "text": "test.Foo"}]
+    tree = view(session, "tree", text)
+    assert tree["node"] == "query" and len(tree["body"]) == 5 and json.loads(json.dumps(tree)) == tree
+    plan = view(session, "plan", text)
+    assert sorted(s["step"] for s in plan["steps"]) == ["absent", "derive", "level", "test"] and plan["constants"] == {"K": "7"}
+    assert plan["steps"][0]["alternatives"][0]["predicate"] == "test.Edge"
+    assert [set(s) for s in view(session, "trace", "X where test.Edge {from = X}")] == [{"step", "rows"}]
