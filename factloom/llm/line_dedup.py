@@ -137,9 +137,8 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST
     """``doc``, ``at`` (the line number, and 32 bits of the text's hash below it) of each line that goes."""
     t = similarity
     raw = _split_lines(docs)
-    steps = [r << 55 for r in _rarity(raw)]
-    table = F.split(F.lit(",".join(map(str, steps))), ",").cast("array<bigint>")
-    ranked = F.transform(_words(F.col("body")), lambda h: F.coalesce(F.get(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), F.lit(0)).bitwiseOR(F.shiftrightunsigned(h, 9)))
+    table = F.split(F.lit(",".join(map(str, _rarity(raw)))), ",").cast("array<int>")  # small numbers, as plans that hold it are kept
+    ranked = F.transform(_words(F.col("body")), lambda h: F.shiftleft(F.coalesce(F.get(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), F.lit(0)).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(h, 9)))
     sets = raw.select("doc", "at", F.sort_array(ranked).alias("w"))
     n = F.size("w")
     flip = lambda words: F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
