@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from factloom.llm.common import encode_words, materialised, mix, n_partitions, ragged, text_chunks
 
 #: Bytes of text in a batch.
-CHUNK = 4_000_000
-#: Hashes in a bucket of an exchange, 64 MB as they are unpacked.
-BUCKET = 8_000_000
+CHUNK = 2_000_000
+#: Hashes in a bucket of an exchange, 32 MB as they are unpacked.
+BUCKET = 4_000_000
 BATCH = "batch long, doc_ids array<bigint>, counts array<int>, vocabulary binary, vocabulary_lengths binary, words binary"
 SENT = "bucket int, batch long, n int, payload binary"
 ANSWER = "bucket int, batch long, answer binary"
@@ -67,6 +67,19 @@ def buckets_for(batches: DataFrame) -> int:
     return max(n_partitions(batches.sparkSession), -(-words // BUCKET))
 
 
+def by_row(run: Callable[[dict], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow``: what ``run`` makes of each row. One row is unpacked at a time, and what it took is freed before the next."""
+
+    def each(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            for k in range(table.num_rows):
+                if (out := run(table.slice(k, 1).to_pylist()[0])) is not None:
+                    yield out
+        pa.default_memory_pool().release_unused()  # Spark keeps the worker for other tasks
+
+    return each
+
+
 class Words:
     """A batch, unpacked."""
 

@@ -28,14 +28,13 @@ judged by their texts, and the class id is the least id in a class (a null id ne
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.batches import ANSWER, SENT, Words, answered, pack, rows_by_bucket, unpack, with_answers, word_batches, buckets_for
+from factloom.llm.batches import ANSWER, SENT, Words, answered, by_row, pack, rows_by_bucket, unpack, with_answers, word_batches, buckets_for
 from factloom.llm.common import materialised, mix, odd_constants, rolling
 from factloom.llm.components import components
 
@@ -153,11 +152,9 @@ def _sent(values: np.ndarray, docs: np.ndarray) -> bytes:
 def frequencies(batches: DataFrame, size: int, buckets: int) -> DataFrame:
     """Answers to each batch: in how many documents each of its distinct shingles is."""
 
-    def send(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in tables:
-            for row in table.to_pylist():
-                s = Shingles(Words(row), size, buckets)
-                yield rows_by_bucket(row["batch"], s.bucket, lambda i, j, s=s: _sent(s.values[i:j], s.docs_with[i:j]))
+    def send(row: dict) -> pa.RecordBatch:
+        s = Shingles(Words(row), size, buckets)
+        return rows_by_bucket(row["batch"], s.bucket, lambda i, j: _sent(s.values[i:j], s.docs_with[i:j]))
 
     def add(table: pa.Table) -> pa.Table:
         n = table["n"].to_numpy()
@@ -176,7 +173,7 @@ def frequencies(batches: DataFrame, size: int, buckets: int) -> DataFrame:
         ends = np.cumsum(n)
         return pa.table({"bucket": table["bucket"], "batch": table["batch"], "answer": pa.array([pack(df[e - k : e]) for e, k in zip(ends, n, strict=True)], pa.binary())})
 
-    return batches.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(add, ANSWER)
+    return batches.mapInArrow(by_row(send), SENT).groupBy("bucket").applyInArrow(add, ANSWER)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -304,27 +301,25 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = SIMILARITY)
     buckets = buckets_for(batches)
     answers = materialised(frequencies(batches, size, buckets))
 
-    def sign(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in tables:
-            for row in table.to_pylist():
-                s = Shingles(Words(row), size, buckets)
-                w = s.weights(row, total)
-                n = len(row["counts"])
-                keys, weight = np.zeros((n, BANDS), np.int64), np.zeros(n)
-                ends = np.append(s.starts[1:], len(s.hash)) if len(s.starts) else s.starts
-                a = 0
-                while a < len(s.starts):  # documents of about STEP shingles together
-                    b = max(a + 1, int(np.searchsorted(ends, s.starts[a] + STEP, side="right")))
-                    part = slice(s.starts[a], ends[b - 1])
-                    keys[s.doc[s.starts[a:b]]] = bands(samples(s.hash[part], w[part], s.starts[a:b] - s.starts[a], BANDS * ROWS))
-                    a = b
-                if len(s.starts):
-                    weight[s.doc[s.starts]] = np.add.reduceat(w, s.starts)
-                has = weight > 0
-                node = pa.array(s.node.view(np.int64), mask=~has)
-                yield pa.RecordBatch.from_arrays([pa.array([row["batch"]] * n, pa.int64()), pa.array(np.arange(n), pa.int32()), pa.array(row["doc_ids"], pa.int64()), node, pa.array(weight), pa.array(list(keys), pa.list_(pa.int64()))], ["batch", "place", "doc_id", "node", "weight", "bands"])
-
-    signed = materialised(with_answers(batches, answers).mapInArrow(sign, "batch long, place int, doc_id long, node long, weight double, bands array<bigint>"))
+    def sign(row: dict) -> pa.RecordBatch:
+        s = Shingles(Words(row), size, buckets)
+        w = s.weights(row, total)
+        n = len(row["counts"])
+        keys, weight = np.zeros((n, BANDS), np.int64), np.zeros(n)
+        ends = np.append(s.starts[1:], len(s.hash)) if len(s.starts) else s.starts
+        a = 0
+        while a < len(s.starts):  # documents of about STEP shingles together
+            b = max(a + 1, int(np.searchsorted(ends, s.starts[a] + STEP, side="right")))
+            part = slice(s.starts[a], ends[b - 1])
+            keys[s.doc[s.starts[a:b]]] = bands(samples(s.hash[part], w[part], s.starts[a:b] - s.starts[a], BANDS * ROWS))
+            a = b
+        if len(s.starts):
+            weight[s.doc[s.starts]] = np.add.reduceat(w, s.starts)
+        has = weight > 0
+        node = pa.array(s.node.view(np.int64), mask=~has)
+        return pa.RecordBatch.from_arrays([pa.array([row["batch"]] * n, pa.int64()), pa.array(np.arange(n), pa.int32()), pa.array(row["doc_ids"], pa.int64()), node, pa.array(weight), pa.array(list(keys), pa.list_(pa.int64()))], ["batch", "place", "doc_id", "node", "weight", "bands"])
+
+    signed = materialised(with_answers(batches, answers).mapInArrow(by_row(sign), "batch long, place int, doc_id long, node long, weight double, bands array<bigint>"))
     known = signed.where("node is not null")
     nodes = known.groupBy("node").agg(F.min(F.struct("batch", "place")).alias("at"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     member = materialised(nodes.select("node", "weight", "at", F.posexplode("bands").alias("band", "key")))
@@ -336,16 +331,14 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = SIMILARITY)
     asked = shared.select("node").distinct()
     places = asked.join(member.select("node", "at").distinct(), "node").groupBy(F.col("at.batch").alias("batch")).agg(F.collect_list("at.place").alias("places"))
 
-    def vector(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in tables:
-            for row in table.to_pylist():
-                s = Shingles(Words(row), size, buckets)
-                w = s.weights(row, total)
-                first = dict(zip(s.doc[s.starts].tolist(), zip(s.starts.tolist(), [*s.starts[1:].tolist(), len(s.hash)], strict=True), strict=True))
-                spans = [(d, *first[d]) for d in row["places"]]
-                yield pa.RecordBatch.from_pydict({"node": pa.array([int(s.node.view(np.int64)[d]) for d, _, _ in spans], pa.int64()), "vector": pa.array([_vector(s.hash[a:b], w[a:b]) for _, a, b in spans], pa.binary())})
+    def vector(row: dict) -> pa.RecordBatch:
+        s = Shingles(Words(row), size, buckets)
+        w = s.weights(row, total)
+        first = dict(zip(s.doc[s.starts].tolist(), zip(s.starts.tolist(), [*s.starts[1:].tolist(), len(s.hash)], strict=True), strict=True))
+        spans = [(d, *first[d]) for d in row["places"]]
+        return pa.RecordBatch.from_pydict({"node": pa.array([int(s.node.view(np.int64)[d]) for d, _, _ in spans], pa.int64()), "vector": pa.array([_vector(s.hash[a:b], w[a:b]) for _, a, b in spans], pa.binary())})
 
-    vectors = materialised(with_answers(batches, answers).join(places, "batch").mapInArrow(vector, "node long, vector binary"))
+    vectors = materialised(with_answers(batches, answers).join(places, "batch").mapInArrow(by_row(vector), "node long, vector binary"))
     links = materialised(verified(pairs, vectors, threshold))
     found = components(links)
     label = F.coalesce("component", "node").alias("component")

@@ -21,13 +21,12 @@ or shared by rows of one id, don't count. A null id counts as the smallest. Each
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factloom.llm.batches import ANSWER, SENT, Words, answered, bits, buckets_for, rows_by_bucket, split, with_answers, word_batches
+from factloom.llm.batches import ANSWER, SENT, Words, answered, bits, buckets_for, by_row, rows_by_bucket, split, with_answers, word_batches
 from factloom.llm.common import materialised, rolling
 
 WINDOW = 13
@@ -96,13 +95,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     batches = word_batches(docs)
     buckets = buckets_for(batches)
 
-    def probe(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in tables:
-            for row in table.to_pylist():
-                words = Words(row)
-                a = Anchors(words, block, buckets)
-                f = a.flags(words, block)
-                yield rows_by_bucket(words.batch, a.bucket, lambda i, j, a=a, f=f: a.values[i:j].tobytes() + f[i:j].tobytes())
+    def probe(row: dict) -> pa.RecordBatch:
+        words = Words(row)
+        a = Anchors(words, block, buckets)
+        f = a.flags(words, block)
+        return rows_by_bucket(words.batch, a.bucket, lambda i, j: a.values[i:j].tobytes() + f[i:j].tobytes())
 
     def anchor(table: pa.Table) -> pa.Table:
         n = table["n"].to_numpy()
@@ -118,18 +115,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
         hot[order] = np.repeat((seen & 1 > 0) & ((sizes > 1) | (seen & 2 > 0)), sizes)
         return _answers(table, n, hot)
 
-    def look(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in tables:
-            for row in table.to_pylist():
-                words = Words(row)
-                w = Windows(words, row, window, block, buckets)
-                if len(w.at):
-                    first = w.ids[w.first]
-                    base = first.min()
-                    wide = int(first.max()) - int(base) >= 1 << 32
-                    own = first if wide else (first - base).astype(np.uint32)
-                    head = np.array([wide, base], np.int64).tobytes()
-                    yield rows_by_bucket(words.batch, w.bucket, lambda i, j, w=w, own=own, head=head: head + w.values[i:j].tobytes() + own[i:j].tobytes())
+    def look(row: dict) -> pa.RecordBatch | None:
+        words = Words(row)
+        w = Windows(words, row, window, block, buckets)
+        if len(w.at):
+            first = w.ids[w.first]
+            base = first.min()
+            wide = int(first.max()) - int(base) >= 1 << 32
+            own = first if wide else (first - base).astype(np.uint32)
+            head = np.array([wide, base], np.int64).tobytes()
+            return rows_by_bucket(words.batch, w.bucket, lambda i, j: head + w.values[i:j].tobytes() + own[i:j].tobytes())
+        return None
 
     def earlier(table: pa.Table) -> pa.Table:
         n = table["n"].to_numpy()
@@ -148,30 +144,28 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
         answer[order] = first[order] > np.repeat(least, np.diff(np.append(starts, len(v))))
         return _answers(table, n, answer)
 
-    def finish(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in tables:
-            for row in table.to_pylist():
-                words = Words(row)
-                w = Windows(words, row, window, block, buckets)
-                gone = answered(row, 1, w.bucket)[w.group] | (w.owner > w.first[w.group]) if len(w.at) else np.zeros(0, bool)
-                edge = np.zeros(len(words.doc) + 1, np.int32)
-                at = w.at[w.order][gone]
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + window, -1)
-                kept = np.cumsum(edge[:-1]) == 0
-                flat, got = words.pieces(np.flatnonzero(kept))
-                ends = np.concatenate([[0], np.cumsum(got)])[np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], words.ends])]]
-                raw = flat.tobytes()
-                texts = [raw[a : max(a, b - 1)] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                left = np.diff(np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], words.ends])])
-                out = {"doc_id": pa.array(words.doc_ids, pa.int64()), "n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(words.counts - left, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts])}
-                if with_text:
-                    out["kept_text"] = pa.array([t.decode() for t in texts], pa.string())
-                yield pa.RecordBatch.from_pydict(out)
-
-    first = materialised(batches.mapInArrow(probe, SENT).groupBy("bucket").applyInArrow(anchor, ANSWER))
-    second = materialised(with_answers(batches, first).mapInArrow(look, SENT).groupBy("bucket").applyInArrow(earlier, ANSWER))
-    return with_answers(batches, first, second).mapInArrow(finish, RESULT + (", kept_text string" if with_text else ""))
+    def finish(row: dict) -> pa.RecordBatch:
+        words = Words(row)
+        w = Windows(words, row, window, block, buckets)
+        gone = answered(row, 1, w.bucket)[w.group] | (w.owner > w.first[w.group]) if len(w.at) else np.zeros(0, bool)
+        edge = np.zeros(len(words.doc) + 1, np.int32)
+        at = w.at[w.order][gone]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + window, -1)
+        kept = np.cumsum(edge[:-1]) == 0
+        flat, got = words.pieces(np.flatnonzero(kept))
+        ends = np.concatenate([[0], np.cumsum(got)])[np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], words.ends])]]
+        raw = flat.tobytes()
+        texts = [raw[a : max(a, b - 1)] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        left = np.diff(np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], words.ends])])
+        out = {"doc_id": pa.array(words.doc_ids, pa.int64()), "n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(words.counts - left, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts])}
+        if with_text:
+            out["kept_text"] = pa.array([t.decode() for t in texts], pa.string())
+        return pa.RecordBatch.from_pydict(out)
+
+    first = materialised(batches.mapInArrow(by_row(probe), SENT).groupBy("bucket").applyInArrow(anchor, ANSWER))
+    second = materialised(with_answers(batches, first).mapInArrow(by_row(look), SENT).groupBy("bucket").applyInArrow(earlier, ANSWER))
+    return with_answers(batches, first, second).mapInArrow(by_row(finish), RESULT + (", kept_text string" if with_text else ""))
 
 
 def _answers(table: pa.Table, n: np.ndarray, yes: np.ndarray) -> pa.Table:
