@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import re
 import tempfile
@@ -10,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker holds in unpacked form at once; a longer text is a chunk of its own.
@@ -32,17 +34,34 @@ def materialised(df: DataFrame, path: str | None = None) -> DataFrame:
 
     The shuffle files behind what is written are of no more use; Spark deletes them once the driver's JVM collects the
     garbage that names them, which a small driver heap does often and a large one hardly ever, so it is asked to.
+    Compiling plans also leaves much freed memory outside the heap, which the C library keeps unless it is asked, too.
     """
     path = path or shared_dir(df.sparkSession)
     df.write.parquet(path)
     gc.collect()
     if (jvm := getattr(df.sparkSession, "_jvm", None)) is not None:
         jvm.System.gc()
+        trim(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def trim(spark: SparkSession) -> bool:
+    """Has the driver's JVM hand freed native memory back to the system; False where it can't (not HotSpot, not glibc)."""
+    gateway = spark.sparkContext._gateway
+    jvm, of = gateway.jvm, gateway.jvm.java.lang.Class.forName
+    with contextlib.suppress(Py4JError):
+        kinds, given = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+        for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = of(kind)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # by reflection on the interface, as the server's own class isn't open to others
+        of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+        return True
+    return False
+
+
 def discard(table: DataFrame) -> None:
     """Frees the files of a table of ``materialised`` that no unfinished result reads any more."""
     table.limit(0).write.mode("overwrite").parquet(f"{table.stored_at}.none")

@@ -1,4 +1,5 @@
 import corpus_pipeline
+from factloom.llm import common
 from tests.llm.data import documents, frame
 from tests.llm.test_dedup import crowd, near_brute
 
@@ -41,3 +42,10 @@ def test_the_pipeline_runs_over_odd_documents(spark, tmp_path):
     assert len(set(ids)) == len(ids) > 5 and rows[3][0] not in ids and {2000, 2001, 2002}.isdisjoint(ids)
     assert all(r.round_trip for r in out)
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_writing_a_table_hands_freed_native_memory_back(spark, monkeypatch):
+    assert common.trim(spark)
+    calls = []
+    monkeypatch.setattr(common, "trim", calls.append)
+    assert common.materialised(spark.range(3)).count() == 3 and len(calls) == 1
