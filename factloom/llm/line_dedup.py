@@ -13,8 +13,9 @@ and the pipeline, which judge every line with a word.
    and the parities of the words' hashes (64 bits, 256 for lines of over ``LONG`` words: each unshared word flips one)
    allow the similarity.
 4. At each of its words, a class that may match the earliest class there is held against that one only, else against all
-   earlier candidates, so a crowd of variants costs as much as its size. Candidates are verified with the whole sets. Of
-   the classes that this leaves in place though they skipped some pair, all pairs are verified in a second round.
+   earlier candidates, so a crowd of variants costs as much as its size. Candidates are verified with the whole sets: of
+   each class first its likeliest one by parities and the earliest ones, then, for the classes that this leaves in place, all others, and those
+   that were skipped for the earliest one.
 
 The tables of slots that expressions look up are of a fixed size and travel in the plan. Words are compared by 64 bits
 of hash (55 and the rarity in the order).
@@ -161,18 +162,25 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST
     l, r = F.col("l.x"), F.col("r.x")
     is_lead = F.col("l.lead.doc").eqNullSafe(r["doc"]) & (F.col("l.lead.at") == r["at"])
     joined = led.alias("l").join(rows.alias("r"), (F.col("l.word") == F.col("r.word")) & F.when(F.col("l.star"), is_lead).otherwise(_may_match(l, r, t) & _before(l, r)))
-    tried = materialised(joined.select(pair(l, "l"), pair(r, "r"), F.col("l.star").alias("star")).groupBy("l", "r").agg(F.max("star").alias("star")))
-    gone = materialised(_verified(tried.select("l", "r"), docs, t))
-
+    tried = materialised(joined.select(pair(l, "l"), pair(r, "r"), F.col("l.star").alias("star"), _apart(l, r).alias("apart")).groupBy("l", "r").agg(F.max("star").alias("star"), F.min("apart").alias("apart")))
+    # of each line its likeliest pair, and those with the earliest: most of the lines that go need no other
+    likeliest = tried.groupBy("l").agg(F.min(F.struct("apart", "r")).alias("x")).select("l", "x.r")
+    likeliest = materialised(likeliest.unionByName(tried.where("star").select("l", "r")).distinct())
+    gone = materialised(_verified(likeliest, docs, t))
+
+    left = materialised(tried.select("l.*", "r", "star").alias("x").join(gone.alias("g"), _same("x", "g"), "left_anti").select(pair(F.struct("doc", "at"), "l"), "r", "star"))
+    rest = left.select("l", "r")
     # classes still in place that were held against the earliest only, at some word
-    open_ = materialised(tried.where("star").select("l.*").distinct().alias("x").join(gone.alias("g"), _same("x", "g"), "left_anti"))
+    open_ = materialised(left.where("star").select("l.*").distinct())
     if not open_.isEmpty():
         flags = _flags(open_.select(F.xxhash64("doc", "at")))
         some = rows.where(_flagged(flags, F.xxhash64("x.doc", "x.at"))).join(open_.alias("o"), _same("x", "o"), "left_semi")
         some = materialised(some)
         words = _flags(some.select("word"))
         again = some.alias("l").join(rows.where(_flagged(words, F.col("word"))).alias("r"), (F.col("l.word") == F.col("r.word")) & _may_match(l, r, t) & _before(l, r))
-        rest = materialised(again.select(pair(l, "l"), pair(r, "r")).distinct().exceptAll(tried.select("l", "r")))
+        rest = rest.unionByName(again.select(pair(l, "l"), pair(r, "r")))
+    rest = materialised(rest.distinct().exceptAll(likeliest))
+    if not rest.isEmpty():
         gone = gone.unionByName(materialised(_verified(rest, docs, t)))
 
     discard(classes)

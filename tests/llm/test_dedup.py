@@ -100,6 +100,22 @@ def test_line_dedup_of_crowds_and_its_second_round(spark, monkeypatch):
     assert len(calls) == 2 and calls[1] > 0  # pairs that the first round skipped
 
 
+def test_line_dedup_verifies_few_pairs_of_a_crowd(spark, monkeypatch):
+    r = random.Random(5)
+    rare, own, other = ([f"{x}{k}" for k in range(n)] for x, n in (("rare", 12), ("c", 44), ("d", 40)))
+    rows = [(0, " ".join(rare + other)), (1, "\n".join([" ".join(own), " ".join(other)] * 300))]  # first at all rare words, and unlike the crowd
+    for k in range(120):
+        words = rare + own
+        words[r.randrange(12, 56)] = f"v{k}"
+        rows.append((100 + k, " ".join(words)))
+    calls = []
+    verified = line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, docs, t: calls.append(pairs.count()) or verified(pairs, docs, t))
+    got = {x.doc_id: (x.n_lines, x.removed) for x in line_dedup.decisions(frame(spark, rows)).collect()}
+    assert got == line_brute(rows, 0.8, 5)
+    assert sum(calls) <= 2 * len(rows)  # not one for each two lines of the crowd
+
+
 def near_brute(rows, size, t):
     counts = {}
     for d, text in rows:
