@@ -5,6 +5,11 @@ The rows so far are one DataFrame. A level is joined to it on all equalities bet
 anti join. Nothing chooses a physical join: Catalyst and adaptive execution do. Alternatives of a level are united first
 and joined once, whatever they read from outside, so a plan grows with the text of the query and no faster.
 
+A join of many rows with many has as many rows as pairs, and the rows of one value would all be made by one task. Such
+joins are dealt into cells (``spread``): a value with more than ``CELL`` squared pairs is cut into pieces of about ``CELL``
+rows on either side, and each two pieces meet in a cell of their own. That takes a count of both sides' values; it is left
+out where one side has each value once (ids, ``unique``) or Catalyst's sizes are ``SMALL``.
+
 Columns of level ``n`` are ``l<n>_<field>``, its facts' ids ``l<n>#id``.
 """
 
@@ -23,6 +28,12 @@ from factloom.plans.analysis import Absent, Derive, Level, Plan, Test
 from factloom.schema.model import UNIT, Int, Predicate, Record, Ref, Schema, Str, Type, Union
 
 
+#: Rows on either side of a cell.
+CELL = 4096
+#: The product of two sides' sizes in bytes, as Catalyst estimates them, under which their join is left as it is.
+SMALL = 1 << 36
+
+
 @dataclass(frozen=True)
 class Place:
     """A value in a column. ``level``: of which fact it is the row, or the whole key."""
@@ -53,13 +64,15 @@ def leaves(c: Column, t: Type, name: str) -> list[tuple[str, Column]]:
 
 
 class Builder:
-    def __init__(self, spark: SparkSession, schema: Schema, facts: Callable[[str], DataFrame], plan: Plan, strict: bool = False, observe: Callable | None = None, ordered: bool = True):
-        self.spark, self.schema, self.facts, self.plan, self.strict, self.observe, self.ordered = spark, schema, facts, plan, strict, observe, ordered
+    def __init__(self, spark: SparkSession, schema: Schema, facts: Callable[[str], DataFrame], plan: Plan, strict: bool = False, observe: Callable | None = None, ordered: bool = True, unique: Callable[[str], frozenset[str]] = lambda _: frozenset()):
+        self.spark, self.schema, self.facts, self.plan, self.strict, self.observe, self.ordered, self.unique = spark, schema, facts, plan, strict, observe, ordered, unique
         self.rows: DataFrame | None = None
         self.env: dict[str, Place] = {}
         self.predicates: dict[int, Predicate] = {}
         self.fetched: dict[str, int] = {}
         self.levels = 0
+        #: Columns of the rows so far of which no two rows have the same value.
+        self.once: set[str] = set()
         #: Columns that put the rows in order, all long or string and never null.
         self.order: list[str] = []
 
@@ -145,7 +158,7 @@ class Builder:
         self.order += [name for name, _ in extra]
         if row is not None and row in self.env:
             outer.append((self.env[row].column, _c(f"l{n}#id")))
-        self.join(df, [a == b for a, b in outer], "inner")
+        self.join(df, outer, "inner", {f"l{n}#id", *(f"l{n}_{x}" for x in self.unique(p.name))})
         for name, (c, t) in new.items():
             whole = not p.scalar and isinstance(f.key, Var)
             self.env[name] = Place(c, t, n if whole else None)
@@ -163,6 +176,7 @@ class Builder:
             return
         outside: list[Column] = []
         parts: list[tuple[DataFrame, dict[str, tuple[Column, Type]], dict[int, Column], list]] = []
+        few: list[set[int]] = []  # by alternative: the values read from outside that at most one of its rows has
         for f in s.facts:
             p = self.schema.get(f.predicate)
             own, outer, new = [], [], {}
@@ -179,6 +193,8 @@ class Builder:
                     outside.append(value)
                 reads[at] = reads[at] & (reads[at] == c) if at in reads else c
             parts.append((df, new, reads, self.order_by(p, n)))
+            alone = {str(_c(f"l{n}#id")), *(str(_c(f"l{n}_{x}")) for x in self.unique(p.name))}
+            few.append({at for at, c in reads.items() if str(c) in alone})
         common = [name for name in parts[0][1] if all(name in x[1] for x in parts)]
         names: dict[str, list[str]] = {}
         frames = []
@@ -196,29 +212,68 @@ class Builder:
         together: dict[tuple, list[int]] = {}  # alternatives by the outer values that they read
         for k, x in enumerate(parts):
             together.setdefault(tuple(sorted(x[2])), []).append(k)
-        before, joined = self.rows, []
+        before, once, joined = self.rows, self.once, []
         for reads, which in together.items():  # each by its own equalities, which no join over all of them could use
-            self.rows = before
-            self.join(df if len(together) == 1 else df.where(_c(f"o{n}").isin(which)), [outside[at] == _c(f"l{n}?{at}") for at in reads], "inner")
-            joined.append(self.rows)
-        self.rows = reduce(lambda a, b: a.unionByName(b), joined)
+            self.rows, self.once = before, once
+            rarely = {f"l{n}?{at}" for at in reads if all(at in few[k] for k in which)}  # a row of each alternative
+            self.join(df if len(together) == 1 else df.where(_c(f"o{n}").isin(which)), [(outside[at], _c(f"l{n}?{at}")) for at in reads], "inner", rarely)
+            joined.append(self.rows.select(*joined[0].columns) if joined else self.rows)
+        self.rows, self.once = reduce(lambda a, b: a.unionByName(b), joined), set()
         for v in common:
             self.env[v] = Place(_c(f"l{n}_{v}"), parts[0][1][v][1])
         if s.row is not None:
             predicate = self.schema.get(s.facts[0].predicate)
             self.env[s.row] = Place(_c(f"l{n}#id"), Ref(predicate.name))
 
-    def join(self, df: DataFrame, on: list[Column], how: str) -> None:
+    def join(self, df: DataFrame, pairs: list[tuple[Column, Column]], how: str, once: set[str] = frozenset()) -> None:
+        """``pairs``: what is equal, here and in ``df``. ``once``: columns of ``df`` of which no two rows have the same value."""
         if self.rows is None:
-            if how == "inner" and not on:
-                self.rows = df
+            if how == "inner" and not pairs:
+                self.rows, self.once = df, set(once)
                 return
             self.rows = self.spark.range(1).select()
+        on = [a == b for a, b in pairs]
+        if how == "inner":
+            left = any(str(a) in {str(_c(x)) for x in self.once} for a, _ in pairs)
+            right = any(str(b) in {str(_c(x)) for x in once} for _, b in pairs)
+            self.once = (self.once if right else set()) | (set(once) if left else set())
+            if pairs and not left and not right and self.observe is None and _size(self.rows) * _size(df) > SMALL:  # an observation may stand in a plan once
+                df, cells = self.spread(df, pairs)
+                on += cells
         if on:
             self.rows = self.rows.join(df, reduce(lambda a, b: a & b, on), how)
         else:
             self.rows = self.rows.crossJoin(df) if how == "inner" else self.rows.join(df, F.lit(True), how)
 
+    def spread(self, df: DataFrame, pairs: list[tuple[Column, Column]]) -> tuple[DataFrame, list[Column]]:
+        """``self.rows`` and ``df`` dealt to tasks by value and cell; ``df`` so dealt, and the cells' equalities.
+
+        A row is in one piece of its side by a hash of its facts' ids, and in as many cells as the other side has pieces.
+        A value with few pairs has one cell. Values with more are in a table of their own, which has at most a row for
+        each ``CELL`` squared rows of the result.
+        """
+        keys, n = [f"k{k}" for k in range(len(pairs))], self.levels
+
+        def counted(rows: DataFrame, columns: list[Column], name: str) -> DataFrame:
+            return rows.groupBy(*(c.alias(k) for c, k in zip(columns, keys, strict=True))).agg(F.count(F.lit(1)).alias(name))
+
+        left, right = [a for a, _ in pairs], [b for _, b in pairs]
+        both = counted(self.rows, left, "left").join(counted(df, right, "right"), keys)
+        pieces = {x: F.ceil(F.col(x) / CELL).cast("int").alias(f"#{x}") for x in ("left", "right")}
+        hot = F.broadcast(both.where(F.col("left").cast("double") * F.col("right") > float(CELL) ** 2).select(*keys, *pieces.values()))
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # as a number, or small inputs would be put together again, whatever comes of them
+
+        def dealt(rows: DataFrame, columns: list[Column], own: str, other: str) -> DataFrame:
+            ids = [c for c in rows.columns if c.endswith("#id")] or rows.columns
+            cut = {x: F.coalesce(_c(f"#{x}"), F.lit(1)) for x in (own, other)}
+            at = {own: F.pmod(F.xxhash64(*map(_c, ids)), cut[own]).cast("int"), other: F.explode(F.sequence(F.lit(0), cut[other] - 1))}
+            rows = rows.join(hot, reduce(lambda a, b: a & b, (c == _c(k) for c, k in zip(columns, keys, strict=True))), "left")
+            rows = rows.select(*(_c(c) for c in rows.columns if c not in (*keys, "#left", "#right")), *(c.alias(f"c{n}{own[0]}.{x}") for x, c in at.items()))
+            return rows.repartition(partitions, *columns, *(_c(f"c{n}{own[0]}.{x}") for x in ("left", "right")))
+
+        self.rows, df = dealt(self.rows, left, "left", "right"), dealt(df, right, "right", "left")
+        return df, [_c(f"c{n}l.{x}") == _c(f"c{n}r.{x}") for x in ("left", "right")]
+
     # ---- values
 
     def place(self, e: Expr) -> Place:
@@ -251,7 +306,7 @@ class Builder:
             self.levels += 1
             p = self.predicates[n] = self.schema.get(base.type.predicate)
             df = self.source(p, n)
-            self.join(df, [base.column == _c(f"l{n}#id")], "left" if self.strict else "inner")
+            self.join(df, [(base.column, _c(f"l{n}#id"))], "left" if self.strict else "inner", {f"l{n}#id"})
             if self.strict:  # a reference to nothing is an error
                 self.rows = self.rows.where(F.when(_c(f"l{n}#id").isNull(), F.raise_error(F.lit(f"a reference to no fact of {p.name}")).cast("boolean")).otherwise(True))
         return self.fetched[name]
@@ -268,7 +323,7 @@ class Builder:
             df = self.source(p, n)
             for o in own:
                 df = df.where(o)
-            self.join(df, [a == b for a, b in outer], "left_anti")
+            self.join(df, outer, "left_anti")
 
     def test(self, s: Test) -> None:
         left = self.place(s.left).column
@@ -319,6 +374,11 @@ class Builder:
         return self.rows.select(*columns, *map(_c, self.order)), out.type
 
 
+def _size(df: DataFrame) -> int:
+    """Bytes, as Catalyst estimates them without a job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def result(df: DataFrame, builder: Builder) -> DataFrame:
     """The head's columns alone, whatever their names."""
     names = df.columns[: builder.width]

@@ -35,10 +35,13 @@ class Page:
 
 
 class Session:
-    """``facts`` gives a predicate's DataFrame: ``fact_id``, a column for each key field (``key`` if scalar), ``__value``."""
+    """``facts`` gives a predicate's DataFrame: ``fact_id``, a column for each key field (``key`` if scalar), ``__value``.
 
-    def __init__(self, spark: SparkSession, schema: Schema, facts: Mapping[str, DataFrame] | Callable[[str], DataFrame], identity: str = "", strict: bool = False):
-        self.spark, self.schema, self.strict = spark, schema, strict
+    ``unique``: a predicate's key fields that no two of its facts share. Without it joins on them are right, and dearer.
+    """
+
+    def __init__(self, spark: SparkSession, schema: Schema, facts: Mapping[str, DataFrame] | Callable[[str], DataFrame], identity: str = "", strict: bool = False, unique: Callable[[str], frozenset[str]] = lambda _: frozenset()):
+        self.spark, self.schema, self.strict, self.unique = spark, schema, strict, unique
         self.facts = facts if callable(facts) else facts.__getitem__
         self.identity = identity or f"{schema_fingerprint(schema):016x}"
 
@@ -47,7 +50,7 @@ class Session:
 
     def _built(self, text: str, observe=None, ordered: bool = True) -> tuple[DataFrame, Type, Builder, Plan]:
         plan = self.plan(text)
-        builder = Builder(self.spark, self.schema, self.facts, plan, self.strict, observe, ordered)
+        builder = Builder(self.spark, self.schema, self.facts, plan, self.strict, observe, ordered, self.unique)
         df, t = builder.build()
         return df, t, builder, plan
 

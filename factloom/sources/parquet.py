@@ -52,6 +52,11 @@ class Binding:
     key: dict[str, str]
     value: str | None = None
 
+    @property
+    def unique(self) -> frozenset[str]:
+        """The key fields that are the table's own key."""
+        return frozenset(f for f, e in self.key.items() if f"{e} + 1L" == self.sequence)
+
 
 def long(name: str) -> str:
     return f"cast({name} as bigint)"
@@ -120,4 +125,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def session(spark: SparkSession, folder: str) -> Session:
     """A session over the tables of ``folder``."""
-    return Session(spark, schema(), bound(lambda table: read(spark, f"{folder}/{table}.parquet"), schema(), bindings(schema())), identity=folder)
+    tables = bindings(schema())
+    return Session(spark, schema(), bound(lambda table: read(spark, f"{folder}/{table}.parquet"), schema(), tables), identity=folder, unique=lambda p: tables[p].unique)
